@@ -34,7 +34,7 @@ def prepare(spark: SparkSession) -> SparkSession:
     if ROOT not in paths:
         environment["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, paths)])
     for key, (default, ours) in BATCH.items():
-        if spark.conf.get(key, default) == default:
+        if spark.conf.get(key, default).rstrip("b") == default:
             spark.conf.set(key, ours)
     return spark
 
