@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import importlib
+from weftgraph.llm import decontaminate, neardup, packing, urlrules
 
-_QUERIES = {
-    "op1_decontaminate": "decontaminate",
-    "op4_near_duplicates": "neardup",
+QUERIES = {
+    "op1_decontaminate": decontaminate.query,
+    "op2_url_rules": urlrules.query,
+    "op3_best_fit_packing": packing.query,
+    "op4_near_duplicates": neardup.query,
 }
-
-QUERIES = {name: importlib.import_module(f"weftgraph.llm.{module}").query for name, module in _QUERIES.items()}
-ORACLE: dict[str, str] = {}
+ORACLE = {"op2_url_rules": urlrules.SQL}
