@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 SLICE = 1 << 20
@@ -136,3 +137,17 @@ def unused(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name = f"_{name}"
     return name
+
+
+#: Labels that are broadcast at most; of more, documents and labels are shuffled to each other.
+BROADCAST_ROWS = 1_000_000
+
+
+def with_label(docs: DataFrame, labels: DataFrame, column: str, name: str, most: int = BROADCAST_ROWS) -> DataFrame:
+    """The rows of docs whose doc_id has a label, with it (of several the largest) in a column of the given name."""
+    key = unused(docs, f"{name}_doc")
+    own = labels.filter(F.col("doc_id").isNotNull() & F.col(column).isNotNull())
+    own = own.groupBy(F.col("doc_id").cast("long").alias(key)).agg(F.max(F.col(column).cast("int")).alias(name))
+    if own.count() <= most:
+        own = F.broadcast(own)
+    return docs.join(own, docs["doc_id"].cast("long") == own[key]).drop(key)

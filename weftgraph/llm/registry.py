@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from weftgraph.llm import decontaminate, neardup, packing, urlrules
+from weftgraph.llm import chat, decontaminate, neardup, packing, toxicity, urlrules
 
 QUERIES = {
     "op1_decontaminate": decontaminate.query,
     "op2_url_rules": urlrules.query,
     "op3_best_fit_packing": packing.query,
     "op4_near_duplicates": neardup.query,
+    "op5_chat_format": chat.query,
+    "op10_toxicity": toxicity.query,
 }
 ORACLE = {"op2_url_rules": urlrules.SQL}
