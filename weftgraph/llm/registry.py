@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weftgraph.llm import chat, decontaminate, neardup, packing, toxicity, urlrules
+from weftgraph.llm import chat, decontaminate, neardup, packing, quality, toxicity, urlrules
 
 QUERIES = {
     "op1_decontaminate": decontaminate.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_best_fit_packing": packing.query,
     "op4_near_duplicates": neardup.query,
     "op5_chat_format": chat.query,
+    "op7_quality": quality.query,
     "op10_toxicity": toxicity.query,
 }
 ORACLE = {"op2_url_rules": urlrules.SQL}

@@ -45,8 +45,8 @@ ERROR = 0.01
 #: MB of terms from the labels beyond which the lexicon is refused, as workers hold it in memory.
 LEXICON_MB = 64
 SCHEMA = "doc_id long, score double, hits int, terms array<string>, toxic boolean"
-#: Score from which a document is toxic: one term of weight 1 in about 10,000 words.
-THRESHOLD = 0.01
+#: Score from which a document is toxic: one term of weight 1 in 400 words, or two in 1,600.
+THRESHOLD = 0.05
 LEXICON = {
     "idiot": 1.0, "idiots": 1.0, "idiotic": 0.8, "moron": 1.0, "morons": 1.0, "moronic": 0.9, "imbecile": 1.0, "imbeciles": 1.0,
     "stupid": 0.8, "stupidity": 0.5, "dumb": 0.6, "dumbass": 1.2, "dimwit": 0.9, "halfwit": 0.9, "fool": 0.5, "loser": 0.9, "losers": 0.9,
