@@ -151,3 +151,28 @@ def with_label(docs: DataFrame, labels: DataFrame, column: str, name: str, most:
     if own.count() <= most:
         own = F.broadcast(own)
     return docs.join(own, docs["doc_id"].cast("long") == own[key]).drop(key)
+
+
+def runs_of(column: np.ndarray) -> np.ndarray:
+    """Where each run of equal values starts, and the end."""
+    return np.concatenate([[0], np.flatnonzero(column[1:] != column[:-1]) + 1, [len(column)]]) if len(column) else np.zeros(1, np.int64)
+
+
+def whole_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Regroup sorted batches so that no run of the first column's values is split."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        values = batch.column(0).to_numpy()
+        cut = runs_of(values)[-2]
+        if held and values[0] == held[-1].column(0)[-1].as_py() and cut == 0:
+            held.append(batch)
+            continue
+        same = int(np.searchsorted(values != held[-1].column(0)[-1].as_py(), True)) if held else 0
+        whole = [*held, batch.slice(0, max(cut, same))]
+        if sum(b.num_rows for b in whole):
+            yield pa.Table.from_batches(whole).combine_chunks()
+        held = [batch.slice(max(cut, same))] if max(cut, same) < batch.num_rows else []
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weftgraph.llm.kernel import arrow_map, mix, slices, unused, words
+from weftgraph.llm.kernel import arrow_map, mix, runs_of, slices, unused, whole_runs, words
 from weftgraph.session import shared_folder
 
 BANDS, ROWS = 32, 4
@@ -136,43 +136,18 @@ def signatures(docs: DataFrame) -> DataFrame:
     return arrow_map(texts, work, "key long, doc_id long, sketch binary, bands array<long>").checkpoint()
 
 
-def _runs(column: np.ndarray) -> np.ndarray:
-    """Where each run of equal values starts, and the end."""
-    return np.concatenate([[0], np.flatnonzero(column[1:] != column[:-1]) + 1, [len(column)]]) if len(column) else np.zeros(1, np.int64)
-
-
-def _whole_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Regroup sorted batches so that no run of the first column's values is split."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        values = batch.column(0).to_numpy()
-        cut = _runs(values)[-2]
-        if held and values[0] == held[-1].column(0)[-1].as_py() and cut == 0:
-            held.append(batch)
-            continue
-        same = int(np.searchsorted(values != held[-1].column(0)[-1].as_py(), True)) if held else 0
-        whole = [*held, batch.slice(0, max(cut, same))]
-        if sum(b.num_rows for b in whole):
-            yield pa.Table.from_batches(whole).combine_chunks()
-        held = [batch.slice(max(cut, same))] if max(cut, same) < batch.num_rows else []
-    if held:
-        yield pa.Table.from_batches(held).combine_chunks()
-
-
 def buckets(signed: DataFrame) -> DataFrame:
     """bucket, key: the members of each distinct set of at least two documents that share a band."""
     rows = signed.select(F.explode("bands").alias("band"), "key")
     rows = rows.repartition("band").sortWithinPartitions("band", "key")
 
     def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in _whole_runs(batches):
+        for whole in whole_runs(batches):
             band, key = whole.column(0).to_numpy(), whole.column(1).to_numpy()
             new = np.ones(len(key), bool)
             new[1:] = (band[1:] != band[:-1]) | (key[1:] != key[:-1])
             band, key = band[new], key[new]
-            starts = _runs(band)
+            starts = runs_of(band)
             size = np.diff(starts)
             many = np.repeat(size > 1, size)
             if not many.any():
@@ -192,8 +167,8 @@ def edges(signed: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     rows = rows.repartition("bucket").sortWithinPartitions("bucket", "key")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in _whole_runs(batches):
-            starts, key = _runs(whole.column(0).to_numpy()), whole.column(1).to_numpy()
+        for whole in whole_runs(batches):
+            starts, key = runs_of(whole.column(0).to_numpy()), whole.column(1).to_numpy()
             sketch = np.frombuffer(b"".join(whole.column(2).to_pylist()), np.uint64).reshape(len(key), -1)
             size = np.diff(starts)
             low, high = [], []
