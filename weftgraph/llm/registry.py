@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weftgraph.llm import chat, decontaminate, lmscore, neardup, packing, quality, toxicity, urlrules
+from weftgraph.llm import chat, decontaminate, lmscore, neardup, packing, privacy, quality, toxicity, urlrules
 
 QUERIES = {
     "op1_decontaminate": decontaminate.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_near_duplicates": neardup.query,
     "op5_chat_format": chat.query,
     "op7_quality": quality.query,
+    "op8_privacy": privacy.query,
     "op9_lm_score": lmscore.query,
     "op10_toxicity": toxicity.query,
 }
