@@ -1,18 +1,60 @@
-"""From raw documents to packed training bins, stage by stage."""
+"""From raw documents to packed training bins, stage by stage.
+
+Each stage gets the documents that the one before it kept, written as Parquet and read again. All but the last return
+the columns of documents; the last returns the places of the documents' pieces in bins.
+"""
 
 from __future__ import annotations
 
-from weftgraph.llm import decontaminate, neardup
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+from weftgraph.llm import decontaminate, neardup, packing, privacy, quality
+from weftgraph.session import shared_folder, table
 
 
-def deduplicate(spark, docs, sf_dir):
+def high_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go; it is fitted to those of docs that have a label."""
+    return quality.drop_low(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays."""
     return neardup.drop_duplicates(docs)
 
 
-def decontaminated(spark, docs, sf_dir):
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that leak a benchmark item go."""
-    return decontaminate.drop_leaking(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return decontaminate.drop_leaking(docs, table(spark, sf_dir, "benchmark"))
+
+
+def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data and the words that disclose them go from the texts."""
+    return privacy.sanitise(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The place of each document's pieces in bins."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality", high_quality),
+    ("near_duplicates", deduplicated),
+    ("decontamination", decontaminated),
+    ("privacy", private),
+    ("packing", packed),
+]
+#: Four of the five stages are beyond SQL; tests hold each against a brute-force version.
+ORACLE_SQL = None
 
 
-STAGES = [("near_duplicates", deduplicate), ("decontaminate", decontaminated)]
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents table; what is between them is in the shared folder."""
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+    return docs
