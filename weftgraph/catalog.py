@@ -397,3 +397,61 @@ def bgp_path(spark, folder):
     rows = table(spark, folder, "orders").filter("o_orderkey between 2 and 300").select(F.col("o_orderkey").alias("doc_id"), F.lit("").alias("text"), F.floor(F.col("o_orderkey") / 2).alias("up"))
     own = engine.run("""[{prefix: ex, iri: http://example.org/}, {subject: "ex:@{doc_id}", predicate: ex:up, object: {iri: "ex:@{up}"}}]""", rows).graph
     return graph.select(own.select("s", "p", "o"), _PREFIX + "SELECT ?x ?y WHERE { ?x ex:up+ ?y }")
+
+
+# page layout, on rectangles made of numbers
+
+
+def _rects(spark: SparkSession, folder: str) -> DataFrame:
+    """Thin rectangles: two orders share a page."""
+    k = F.col("l_orderkey") % 50
+    thin = F.col("l_linenumber") % 2 == 0
+    x, y = (F.col("l_partkey") % 40) * 10.0, (F.col("l_suppkey") % 30) * 10.0
+    rows = table(spark, folder, "lineitem").select(k.alias("doc_id"), (F.col("l_orderkey") % 7).cast("int").alias("page"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("rect_no"), x.alias("x0"), y.alias("y0"), thin.alias("thin"), "l_quantity")
+    return rows.select("doc_id", "page", "rect_no", "x0", "y0", F.when(F.col("thin"), F.col("x0") + F.col("l_quantity")).otherwise(F.col("x0") + 1).alias("x1"), F.when(F.col("thin"), F.col("y0") + 1).otherwise(F.col("y0") + F.col("l_quantity")).alias("y1"))
+
+
+_RECTS = """rects AS (SELECT l_orderkey % 50 AS doc_id, (l_orderkey % 7)::INT AS page, l_orderkey * 10 + l_linenumber AS rect_no, (l_partkey % 40) * 10.0::DOUBLE AS x0, (l_suppkey % 30) * 10.0::DOUBLE AS y0,
+CASE WHEN l_linenumber % 2 = 0 THEN (l_partkey % 40) * 10.0::DOUBLE + l_quantity ELSE (l_partkey % 40) * 10.0::DOUBLE + 1 END AS x1, CASE WHEN l_linenumber % 2 = 0 THEN (l_suppkey % 30) * 10.0::DOUBLE + 1 ELSE (l_suppkey % 30) * 10.0::DOUBLE + l_quantity END AS y1 FROM lineitem),
+guides AS (SELECT *, CASE WHEN y1 - y0 <= 1.2 THEN CASE WHEN x1 - x0 >= 5 THEN 'h' END WHEN x1 - x0 < 1.2 AND y1 - y0 >= 5 THEN 'v' END AS kind FROM rects)"""
+
+
+@query("guide_lines", f"WITH {_RECTS} SELECT * FROM guides WHERE kind IS NOT NULL")
+def guide_lines(spark, folder):
+    return layout.guide_lines(_rects(spark, folder))
+
+
+def _border(own: str, middle: str, other: str, end: str, side: str) -> str:
+    return f"SELECT a.doc_id, a.page, a.rect_no, '{side}' AS side FROM guides a JOIN guides b ON a.doc_id = b.doc_id AND a.page = b.page AND a.kind = '{own}' AND b.kind = '{other}' AND abs((a.{middle}0 + a.{middle}1) / 2 - b.{end}) <= 2 GROUP BY ALL HAVING count(*) >= 4"
+
+
+@query("borders", f"WITH {_RECTS} {_border('h', 'y', 'v', 'y0', 'top')} UNION ALL {_border('h', 'y', 'v', 'y1', 'bottom')} UNION ALL {_border('v', 'x', 'h', 'x0', 'left')} UNION ALL {_border('v', 'x', 'h', 'x1', 'right')}")
+def borders(spark, folder):
+    return layout.borders(layout.guide_lines(_rects(spark, folder)))
+
+
+def _words(spark: SparkSession, folder: str) -> DataFrame:
+    """The words of documents on a grid of 12 columns."""
+    rows = table(spark, folder, "documents").select("doc_id", F.posexplode(F.split("text", "[ \\n]+")).alias("word_no", "text")).filter("text <> ''")
+    place = F.col("word_no") % 600
+    x, y = (place % 12) * 50.0 + 3, F.floor(place / 12) * 12.0 + 1
+    return rows.select("doc_id", F.floor(F.col("word_no") / 600).cast("int").alias("page"), F.col("word_no").cast("long").alias("word_no"), x.cast("double").alias("x0"), y.cast("double").alias("y0"), (x + F.least(F.length("text"), F.lit(9)) * 5).cast("double").alias("x1"), (y + 10).cast("double").alias("y1"), "text")
+
+
+@query("cell_assign", r"""WITH w AS (SELECT doc_id, unnest(regexp_split_to_array(text, '[ \n]+')) AS t, generate_subscripts(regexp_split_to_array(text, '[ \n]+'), 1) - 1 AS word_no FROM documents),
+p AS (SELECT doc_id, (word_no // 600)::INT AS page, word_no::BIGINT AS word_no, ((word_no % 600) % 12) * 50.0 + 3 AS x0, ((word_no % 600) // 12) * 12.0 + 1 AS y0, ((word_no % 600) % 12) * 50.0 + 3 + least(length(t), 9) * 5 AS x1, ((word_no % 600) // 12) * 12.0 + 11 AS y1 FROM w WHERE t <> ''),
+c AS (SELECT i.range * 20 + j.range AS cell_no, i.range * 37.0 AS cx0, j.range * 31.0 AS cy0, i.range * 37.0 + 37 AS cx1, j.range * 31.0 + 31 AS cy1 FROM range(17) i, range(20) j),
+o AS (SELECT doc_id, page, word_no, cell_no, greatest(0, least(x1, cx1) - greatest(x0, cx0)) * greatest(0, least(y1, cy1) - greatest(y0, cy0)) AS overlap, (x1 - x0) * (y1 - y0) AS area FROM p JOIN c ON x0 < cx1 AND cx0 < x1 AND y0 < cy1 AND cy0 < y1)
+SELECT doc_id, page, word_no, cell_no::INT AS cell_no FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, page, word_no ORDER BY overlap DESC, cell_no) AS k FROM o) WHERE k = 1 AND overlap >= 0.5 * area""")
+def cell_assign(spark, folder):
+    words = _words(spark, folder)
+    grid = spark.range(17).crossJoin(spark.range(20).withColumnRenamed("id", "j"))
+    cells = grid.select((F.col("id") * 20 + F.col("j")).cast("int").alias("cell_no"), (F.col("id") * 37.0).alias("x0"), (F.col("j") * 31.0).alias("y0"), (F.col("id") * 37.0 + 37).alias("x1"), (F.col("j") * 31.0 + 31).alias("y1"))
+    pages = words.select("doc_id", "page").distinct()
+    return layout.words_to_cells(words, pages.crossJoin(cells))
+
+
+@query("page_xhtml")
+def page_xhtml(spark, folder):
+    words, rects = _words(spark, folder), _rects(spark, folder)
+    return layout.layout(words, rects)
