@@ -71,7 +71,7 @@ _LATIN = {
     "a": "аα4ɑ", "b": "ЬƄβ8", "c": "сϲᴄ", "d": "ԁɗ", "e": "еε3єҽ", "f": "ƒ", "g": "ɡց", "h": "һн", "i": "іιӏӀıℓl1", "j": "јϳ", "k": "кκ", "m": "м", "n": "пոη",
     "o": "оο0օσ", "p": "рρ", "q": "ԛ", "r": "гᴦ", "s": "ѕ5ꜱ", "t": "тτ7", "u": "υսцᴜ", "v": "νѵ", "w": "ԝωш", "x": "хχ×", "y": "уγү", "z": "ᴢ",
 }
-_INVISIBLE = "­​‌‍⁠﻿"
+_INVISIBLE = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
 
 
 def _table() -> dict[int, str]:
