@@ -3,8 +3,8 @@
 A conversation is legal if it has at most one system turn, which comes first, and then user and assistant in turn, to
 an assistant's reply. A dynamic program over the automaton of legal turns finds the cheapest way to make it so: a turn
 may take another role (RELABEL; UNKNOWN if its own is none of the three), be merged with the one before it (MERGE),
-or an empty turn may be inserted (INSERT). Of equally cheap repairs the first in the order keep, merge, insert,
-relabel wins, decided at the last turn first. The repaired sequence is rendered in ChatML; control marks within texts
+or an empty turn may be inserted (INSERT). Of equally cheap repairs that with the fewest changed
+roles wins, then that with the fewest insertions. The repaired sequence is rendered in ChatML; control marks within texts
 are broken up, so that no text can end its own turn.
 
 Turns are ordered by turn (NULL first), then role and text; repeated rows are turns of their own. A NULL text is empty,
@@ -50,31 +50,27 @@ BETWEEN = {(old, new): path for old in NEXT for new in ROLES if (path := _betwee
 @lru_cache(maxsize=20_000)
 def repair(roles: tuple[str, ...]) -> tuple[int, tuple[tuple[str, str], ...]]:
     """(cost, (action, role) of each step); action is keep, merge or insert, and only insert takes no turn of the input."""
-    best: dict[str, tuple[int, tuple]] = {"start": (0, ())}
+    # cost, changed roles and insertions so far, compared in this order
+    best: dict[str, tuple[int, int, int]] = {"start": (0, 0, 0)}
     backs: list[dict[str, tuple]] = []
     for own in roles:
-        now: dict[str, tuple[int, tuple]] = {}
+        options: dict[str, list[tuple]] = {}
         for new in ROLES:
             label = 0 if new == own else RELABEL if own in ROLES else UNKNOWN
-            options = []
-            for old, (cost, _) in best.items():
+            for old, (cost, changed, inserted) in best.items():
                 if old == new:
-                    options.append((cost + label + MERGE, 1, old, "merge", ()))
+                    options.setdefault(new, []).append(((cost + label + MERGE, changed + (new != own), inserted), old, "merge", ()))
                 if (old, new) in BETWEEN:
                     path = BETWEEN[old, new]
-                    options.append((cost + label + INSERT * len(path), 2 * bool(path), old, "keep", path))
-            if options:
-                cost, _, old, action, path = min(options, key=lambda x: (x[0], x[1], x[2]))
-                now[new] = (cost, (old, action, path))
-        backs.append({role: back for role, (_, back) in now.items()})
-        best = now
+                    options.setdefault(new, []).append(((cost + label + INSERT * len(path), changed + (new != own), inserted + len(path)), old, "keep", path))
+        chosen = {new: min(found, key=lambda x: (x[0], x[2], x[1])) for new, found in options.items()}
+        best = {new: x[0] for new, x in chosen.items()}
+        backs.append({new: x[1:] for new, x in chosen.items()})
     ends = []
-    for old, (cost, _) in best.items():
-        path: tuple[str, ...] = ()
-        if old != FINAL:
-            path = (*BETWEEN[old, FINAL], FINAL)
-        ends.append((cost + INSERT * len(path), 2 * bool(path), old, path))
-    cost, _, role, path = min(ends)
+    for old, (cost, changed, inserted) in best.items():
+        path = () if old == FINAL else (*BETWEEN[old, FINAL], FINAL)
+        ends.append(((cost + INSERT * len(path), changed, inserted + len(path)), old, path))
+    (cost, _, _), role, path = min(ends)
     steps: list[tuple[str, str]] = [("insert", r) for r in reversed(path)]
     for back in reversed(backs):
         old, action, between = back[role]
