@@ -30,7 +30,7 @@ from weftgraph.session import shared_folder
 BANDS, ROWS = 32, 4
 SAMPLES = BANDS * ROWS
 BITS = 512
-THRESHOLD = 0.6
+THRESHOLD = 0.55
 _RNG = np.random.Generator(np.random.PCG64(404))
 _FACTOR = _RNG.integers(1, 1 << 63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SHIFT = _RNG.integers(1, 1 << 63, SAMPLES, dtype=np.uint64)
