@@ -132,7 +132,7 @@ def c_float(bare: Column) -> Column:
     small = (size >= 1e-4) & (size < 1e-3)
     mantissa = F.regexp_replace(F.regexp_extract(text, r"^(-?[0-9.]+)", 1), r"\.0$", "")
     power = F.regexp_extract(text, r"E(-?[0-9]+)$", 1).try_cast("int")
-    exponent = F.concat(mantissa, F.lit("e"), F.when(power < 0, "-").otherwise("+"), F.lpad(F.abs(power).cast("string"), 2, "0"))
+    exponent = F.concat(mantissa, F.lit("e"), F.when(power < 0, "-").otherwise("+"), F.when(F.abs(power) < 10, "0").otherwise(""), F.abs(power).cast("string"))
     digits = F.regexp_replace(F.regexp_replace(F.regexp_extract(text, r"^(-?[0-9.]+)", 1), r"\.0$", ""), "[.-]", "")
     sign = F.when(value < 0, "-").otherwise("")
     whole = F.concat(sign, F.when(F.length(digits) > power + 1, F.concat(F.substring(digits, F.lit(1), power + 1), F.lit("."), F.substring(digits, power + 2, F.lit(40)))).otherwise(F.concat(F.rpad(digits, power + 1, F.lit("0")), F.lit(".0"))))
@@ -153,7 +153,7 @@ def c_infer(text: Column) -> Column:
 
 def c_ntriples(term: Column) -> Column:
     """ntriples, as a column."""
-    text = F.regexp_replace(term["lex"], r"\\", r"\\\\\\\\")
+    text = F.regexp_replace(term["lex"], r"\\", r"\\\\")
     for raw, escaped in (('"', '\\\\"'), ("\n", "\\\\n"), ("\r", "\\\\r"), ("\t", "\\\\t"), ("\b", "\\\\b"), ("\f", "\\\\f")):
         text = F.regexp_replace(text, F.lit({"\b": "\\x08"}.get(raw, raw)), F.lit(escaped))
     tail = F.when(term["lang"].isNotNull(), F.concat(F.lit("@"), term["lang"])).when(term["datatype"].isNotNull(), F.concat(F.lit("^^<"), term["datatype"], F.lit(">"))).otherwise("")

@@ -20,7 +20,7 @@ from weftgraph.sources.readers import unescaped
 
 _TOKEN = re.compile(
     r"""(?P<space>\s+|\#[^\n]*)|(?P<iri><[^<>\s]*>)|(?P<string>"(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*')|(?P<lang>@[A-Za-z-]+)|(?P<var>[?$]\w+)
-    |(?P<number>\d+(?:\.\d+)?(?:[eE][+-]?\d+)?)|(?P<name>[A-Za-z_][\w-]*:[\w-]*|:[\w-]+)|(?P<word>[A-Za-z_]\w*)|(?P<sign>\^\^|&&|\|\||!=|<=|>=|[{}().;,*+/^=<>!|-])""",
+    |(?P<number>\d+(?:\.\d+)?(?:[eE][+-]?\d+)?)|(?P<name>[A-Za-z_][\w-]*:[\w-]*|:[\w-]*)|(?P<word>[A-Za-z_]\w*)|(?P<sign>\^\^|&&|\|\||!=|<=|>=|[{}().;,*+/^=<>!|-])""",
     re.X,
 )
 _AGGREGATES = {"count", "sum", "avg", "min", "max", "sample", "group_concat"}
@@ -287,7 +287,7 @@ class _Query:
             return F.concat(F.lit('"'), F.when(whole, column.cast("long").cast("string")).otherwise(column.cast("string")), F.lit('"^^<' + XSD), F.when(whole, "integer").otherwise("float"), F.lit(">"))
         if kind == "bool":
             return F.concat(F.lit('"'), column.cast("string"), F.lit(f'"^^<{XSD}boolean>'))
-        return F.concat(F.lit('"'), F.regexp_replace(F.regexp_replace(column, r"\\", r"\\\\\\\\"), '"', r'\\\\"'), F.lit('"'))
+        return F.concat(F.lit('"'), F.regexp_replace(F.regexp_replace(column, r"\\", r"\\\\"), '"', r'\\"'), F.lit('"'))
 
     def truth(self, value: tuple[str, Column]) -> Column:
         kind, column = value

@@ -110,15 +110,24 @@ def writes(step: Step) -> set[str]:
     return found
 
 
-def exposed(steps: list[Step], own: set[str]) -> set[str]:
+def exposed(steps: list[Step], own: set[str], sure: frozenset[str] = frozenset()) -> set[str]:
     """Names of own that the steps read before they have surely written them."""
     found: set[str] = set()
-    sure: set[str] = set()
     for step in steps:
-        mine = set() if step.op == "append" else reads(step) - ({step.at.get("as")} if "as" in step.at else set())
-        found |= (mine & own) - sure
+        nested = {*step.bodies, "alternatives", "steps", "any-of"}
+        direct = Step(step.op, {k: v for k, v in step.at.items() if k not in nested}, step.where)
+        found |= (set() if step.op == "append" else reads(direct) & own) - sure
+        if step.op == "append":
+            found |= (references(step.at.get("element")) & own) - sure
+        names = {str(step.at[k]) for k in ("as", "as-1", "as-2", "header-as", "leading-as") if k in step.at}
+        inside = sure | names | {f"{n}_count" for n in names} | set(step.at.get("dimensions") or [])
+        for body in step.bodies.values():
+            for part in [[s] for s in body] if step.op in ("sequence-of", "any-of") else [body]:
+                found |= exposed(part, own, inside)
+        if step.op == "set":
+            sure = sure | {f"{n}_count" for n in names}
         if step.op in ("set", "map", "match", "call"):
-            sure |= {str(step.at[k]) for k in ("set", "to", "as") if k in step.at}
+            sure = sure | {str(step.at[k]) for k in ("set", "to", "as") if k in step.at} | set((step.at.get("return") or {}).values() if step.op == "call" else ())
     return found
 
 

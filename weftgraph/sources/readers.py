@@ -65,10 +65,15 @@ def term(text: Column) -> Column:
     lex = F.regexp_extract(text, r'(?s)^"(.*)"(?:@[A-Za-z0-9-]+|\^\^<[^>]*>)?$', 1)
     datatype, lang = F.regexp_extract(text, r'"\^\^<([^>]*)>$', 1), F.regexp_extract(text, r'"@([A-Za-z0-9-]+)$', 1)
     none = F.lit(None).cast("string")
+
+    def struct(*columns: Column) -> Column:
+        return F.struct(*(c.alias(n) for c, n in zip(columns, ("kind", "lex", "datatype", "lang"))))
+
+    rest = F.substring(text, F.lit(3), F.length(text))
     return (
-        F.when(text.startswith("<"), F.struct(F.lit("iri").alias("kind"), F.substring(text, F.lit(2), F.length(text) - 2).alias("lex"), none.alias("datatype"), none.alias("lang")))
-        .when(text.startswith("_:"), F.struct(F.lit("bnode"), F.substring(text, F.lit(3), F.length(text)), none, none))
-        .otherwise(F.struct(F.lit("literal"), unescaped(lex), F.nullif(datatype, F.lit("")), F.nullif(lang, F.lit(""))))
+        F.when(text.startswith("<"), struct(F.lit("iri"), F.substring(text, F.lit(2), F.length(text) - 2), none, none))
+        .when(text.startswith("_:"), struct(F.lit("bnode"), rest, none, none))
+        .otherwise(struct(F.lit("literal"), unescaped(lex), F.nullif(datatype, F.lit("")), F.nullif(lang, F.lit(""))))
         .cast(TERM)
     )
 
