@@ -259,3 +259,13 @@ def test_ranking(spark):
 def test_partitions_do_not_matter(docs):
     for name in ("loop values", "alternatives"):
         assert seen(engine.run(WORKFLOWS[name], docs.repartition(1))) == seen(engine.run(WORKFLOWS[name], docs.repartition(7)))
+
+
+def test_select(docs, spark):
+    where = "SELECT ?a ?b WHERE { ?a <http://ex.org/p> ?b }"
+    made = engine.run(PREFIX + "- {subject: 'ex:@{doc_id}', predicate: ex:p, object: {text: '@{extra}'}}", docs.filter("doc_id < 3")).graph
+    text = f"[{{select: [b, a], from: g, where: '{where}', as: [x, y], else: [{{echo: never}}]}}, {{echo: '@{{x}} @{{y}}'}}]"
+    assert {r.message for r in engine.run(text, docs, graphs={"g": made}).log.collect()} == {"e http://ex.org/0"}
+    text = f"[{{select: b, from: g, where: '{where}', do: [{{echo: '@{{b}}'}}], else: [{{echo: none}}]}}]"
+    assert engine.run(text, docs, graphs={"g": made}).log.count() == docs.count() * made.count()
+    assert {r.message for r in engine.run(text, docs, graphs={"g": made.limit(0)}).log.collect()} == {"none"}

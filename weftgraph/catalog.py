@@ -399,6 +399,30 @@ def bgp_path(spark, folder):
     return graph.select(own.select("s", "p", "o"), _PREFIX + "SELECT ?x ?y WHERE { ?x ex:up+ ?y }")
 
 
+@query("select_first", f"SELECT p_partkey AS doc_id, p_brand || ' ' || (SELECT min(n_name) FROM nation WHERE n_regionkey = 2) AS message FROM part")
+def select_first(spark, folder):
+    rows = table(spark, folder, "part").select(F.col("p_partkey").alias("doc_id"), F.col("p_brand").alias("text"), "p_brand")
+    return messages(engine.run("""
+- select: [name]
+  from: places
+  where: "PREFIX ex: <http://example.org/> SELECT ?name WHERE { ?n ex:in ex:r2 ; ex:name ?name }"
+  as: [nation]
+  else: [{echo: none}]
+- {echo: "@{p_brand} @{nation}"}
+""", rows, graphs={"places": places(spark, folder).graph}))
+
+
+@query("select_rows", "SELECT s_suppkey AS doc_id, s_name || ' ' || n_name AS message FROM supplier, nation WHERE n_regionkey = 1")
+def select_rows(spark, folder):
+    rows = table(spark, folder, "supplier").select(F.col("s_suppkey").alias("doc_id"), F.col("s_name").alias("text"), "s_name")
+    return messages(engine.run("""
+- select: name
+  from: places
+  where: "PREFIX ex: <http://example.org/> SELECT ?name WHERE { ?n ex:in ex:r1 ; ex:name ?name }"
+  do: [{echo: "@{s_name} @{name}"}]
+""", rows, graphs={"places": places(spark, folder).graph}))
+
+
 # page layout, on rectangles made of numbers
 
 

@@ -11,12 +11,12 @@ from __future__ import annotations
 import re
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.functions.terms import XSD, c_ntriples
 from weftgraph.session import shared_folder
-from weftgraph.sources.readers import unescaped
+from weftgraph.sources.readers import ntriples, unescaped
 
 _TOKEN = re.compile(
     r"""(?P<space>\s+|\#[^\n]*)|(?P<iri><[^<>\s]*>)|(?P<string>"(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*')|(?P<lang>@[A-Za-z-]+)|(?P<var>[?$]\w+)
@@ -499,3 +499,8 @@ def first(triples: DataFrame, query: str, by: str = "doc_id") -> DataFrame:
     rows = select(triples, query, by)
     names = [c for c in rows.columns if c != by]
     return rows.groupBy(by).agg(F.min(F.struct(*names)).alias("row")).select(by, "row.*")
+
+
+def source(spark: SparkSession, name: str, graphs: dict[str, DataFrame]) -> DataFrame:
+    """Statements of a graph that is given by name, or of N-Triples files."""
+    return graphs[name] if name in graphs else ntriples(spark, name)

@@ -97,13 +97,16 @@ def reads(step: Step) -> set[str]:
 
 def writes(step: Step) -> set[str]:
     """Names that a step or its bodies may write."""
-    found = {str(step.at[k]) for k in ("set", "clear", "append", "to", "as") if k in step.at and k != "to" or k == "to" and step.op == "map" and k in step.at}
-    if "as" in step.at:
+    found = {str(step.at[k]) for k in ("set", "clear", "append", "to", "as") if k in step.at and (k != "to" or step.op == "map") and not isinstance(step.at[k], list)}
+    if "as" in step.at and step.op != "select":
         found.add(f"{step.at['as']}_count")
     if step.op == "match-dimensions":
         found |= set(step.at.get("dimensions") or [])
     if step.op == "call":
         found |= set((step.at.get("return") or {}).values())
+    if step.op == "select":
+        named = step.at.get("as") or step.at["select"]
+        found |= set(named if isinstance(named, list) else [named])
     for body in step.bodies.values():
         for inner in body:
             found |= writes(inner)
@@ -119,7 +122,9 @@ def exposed(steps: list[Step], own: set[str], sure: frozenset[str] = frozenset()
         found |= (set() if step.op == "append" else reads(direct) & own) - sure
         if step.op == "append":
             found |= (references(step.at.get("element")) & own) - sure
-        names = {str(step.at[k]) for k in ("as", "as-1", "as-2", "header-as", "leading-as") if k in step.at}
+        names = {str(step.at[k]) for k in ("as", "as-1", "as-2", "header-as", "leading-as") if k in step.at and not isinstance(step.at[k], list)}
+        if step.op == "select":
+            names |= writes(Step("select", {k: v for k, v in step.at.items() if k in ("select", "as")}, ""))
         inside = sure | names | {f"{n}_count" for n in names} | set(step.at.get("dimensions") or [])
         for body in step.bodies.values():
             for part in [[s] for s in body] if step.op in ("sequence-of", "any-of") else [body]:
@@ -134,8 +139,8 @@ def exposed(steps: list[Step], own: set[str], sure: frozenset[str] = frozenset()
 class Compiler:
     """Compiles one workflow over documents with a key, a text and columns that are variables from the start."""
 
-    def __init__(self, workflow: Workflow, docs: DataFrame, text: str = "text", documented: bool = False):
-        self.workflow, self.documented = workflow, documented
+    def __init__(self, workflow: Workflow, docs: DataFrame, text: str = "text", documented: bool = False, graphs: dict[str, DataFrame] | None = None):
+        self.workflow, self.documented, self.graphs = workflow, documented, graphs or {}
         self.numbers = 0
         self.prefixes: dict[str, str] = {}
         self.procedures: dict[str, list[Step]] = {}
@@ -754,6 +759,48 @@ class Compiler:
             self.write(step.get("to"), value)
         return F.lit(True), value
 
+    def do_select(self, step: Step):
+        """A query over a graph, whose first row (by its values) is bound, or each of whose rows runs the body.
+
+        The query is the same for all documents; its rows are put beside every scope as one array.
+        """
+        from weftgraph.operators import graph
+
+        names = step.get("select") if isinstance(step.get("select"), list) else [step.get("select")]
+        targets = step.get("as") or names
+        targets = targets if isinstance(targets, list) else [targets]
+        if references(step.get("where")) or references(step.get("from")):
+            raise Unsupported(f"{step.where}: a query made at run time")
+        rows = graph.select(graph.source(self.frame.df.sparkSession, step.get("from"), self.graphs), step.get("where"))
+        found = self.number()
+        column = f"rows_{found}"
+        held = rows.select(F.struct(*(F.col(n).alias(f"c{k}") for k, n in enumerate(names))).alias("row"))
+        if step.body():
+            held = held.agg(F.array_sort(F.collect_list("row")).alias(column))
+        else:
+            held = held.agg(F.min("row").alias("row")).select(F.array_compact(F.array("row")).alias(column))
+        self.frame.df = self.frame.df.crossJoin(held)
+        some = F.size(F.col(column)) > 0
+        if step.body():
+            marks = [Step("set", {"set": t, "to": ""}, "") for t in targets]
+            with self.loop(F.col(column), [*marks, *step.body()]) as (_, item):
+                for k, target in enumerate(targets):
+                    self.write(target, F.col(item)[f"c{k}"])
+                self.run(step.body())
+            value = None
+        else:
+            with self.scope(some):
+                for k, target in enumerate(targets):
+                    self.write(target, F.try_element_at(F.col(column), F.lit(1))[f"c{k}"])
+            value = F.col(self.state.values[targets[0]][0])
+        ok: Column = some
+        if step.body("else"):
+            with self.scope(~some):
+                on = self.state.on
+                other, _ = self.run(step.body("else"))
+            ok = some | (F.col(on) & other)
+        return ok, value
+
     # triples
 
     def node(self, text: Any) -> Column:

@@ -28,13 +28,13 @@ class Result:
     Documents with an error have no triples; all other tables keep their rows.
     """
 
-    def __init__(self, workflow: Workflow, docs: DataFrame, text: str = "text", engine: str = "auto", documented: bool = False, python: bool = False):
+    def __init__(self, workflow: Workflow, docs: DataFrame, text: str = "text", engine: str = "auto", documented: bool = False, python: bool = False, graphs: dict[str, DataFrame] | None = None):
         self.workflow, self.docs, self.spark = workflow, docs, docs.sparkSession
         self.compiler: columns.Compiler | None = None
         self._events: DataFrame | None = None
         if engine in ("auto", "columns"):
             try:
-                self.compiler = columns.Compiler(workflow, docs, text, documented)
+                self.compiler = columns.Compiler(workflow, docs, text, documented, graphs)
             except (Unsupported, Untranslatable):
                 if engine == "columns":
                     raise
@@ -90,15 +90,16 @@ class Result:
         return rows.select(KEY, F.lit(self.workflow.name).alias("workflow"), *(F.coalesce(n, zero).alias(n) for n in ("no_triples", "no_matches", "total_match_len")), F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("failed", F.lit(False)).alias("failed"))
 
 
-def run(source: str | list | Workflow, docs: DataFrame, text: str = "text", engine: str = "auto", documented: bool = False, python: bool = False, name: str = "workflow") -> Result:
+def run(source: str | list | Workflow, docs: DataFrame, text: str = "text", engine: str = "auto", documented: bool = False, python: bool = False, name: str = "workflow", graphs: dict[str, DataFrame] | None = None) -> Result:
     """Run a workflow over docs (doc_id, a text column; all other columns are variables).
 
     engine: "columns" compiles or raises Unsupported, "python" interprets, "auto" interprets only what can't compile.
     documented: unset variables are empty and numbered references mean the latest match, as workflows' writers are told.
     python: allow exec and arbitrary eval, which run in the workers.
+    graphs: what ``select`` steps query by name; other names are N-Triples files.
     """
     workflow = source if isinstance(source, Workflow) else parse(source, name)
-    return Result(workflow, docs, text, engine, documented, python)
+    return Result(workflow, docs, text, engine, documented, python, graphs)
 
 
 def interpreted(workflow: Workflow, docs: DataFrame, text: str, documented: bool, python: bool) -> DataFrame:
