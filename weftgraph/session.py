@@ -12,7 +12,7 @@ ROOT = str(Path(__file__).resolve().parent.parent)
 #: Arrow batches are bounded by bytes as well as rows, so a run of very long texts can't fill a Python worker.
 BATCH = {
     "spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"),
-    "spark.sql.execution.arrow.maxBytesPerBatch": (str(64 << 20), str(16 << 20)),
+    "spark.sql.execution.arrow.maxBytesPerBatch": (str(64 << 20), str(4 << 20)),
 }
 
 
