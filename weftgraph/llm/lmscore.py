@@ -32,17 +32,19 @@ BASE = 1.5
 LAMBDA = 0.7
 #: Bits of the filter for each pair, and those that a pair sets: an error of about 2 %.
 BITS, PROBES = 8, 5
-#: MB of text whose n-grams share a shard, about; MB of filter that are broadcast at most.
-SHARD_MB, FILTER_MB = 16, 128
+#: MB of text whose n-grams share a shard, about; tasks that count them, at most; MB of filter that are broadcast at most.
+SHARD_MB, TASKS, FILTER_MB = 4, 20_000, 128
+#: Bytes of text that a worker scores at once.
+PART = 2 << 20
 SCHEMA = "doc_id long, words int, log2_prob double, perplexity double"
 _ONE, _TWO = np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
 def grams(word: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash of each word's unigram, hash of its bigram with the word before, whether it has one)."""
-    one = mix(word * _ONE)
+    """(odd hash of each word's unigram, even hash of its bigram with the word before, whether it has one)."""
+    one = mix(word * _ONE) | np.uint64(1)
     two = np.zeros(len(word), np.uint64)
-    two[1:] = mix(word[:-1] * _TWO + mix(word[1:]))
+    two[1:] = mix(word[:-1] * _TWO + mix(word[1:])) & ~np.uint64(1)
     has = np.ones(len(word), bool)
     starts = first[:-1]
     has[starts[starts < len(word)]] = False
@@ -101,7 +103,8 @@ class Filter:
 
 
 def shard_of(gram: np.ndarray, number: int) -> np.ndarray:
-    return ((gram >> np.uint64(33)) % np.uint64(number)).astype(np.int64)
+    """The shard of each n-gram, by its leading bits."""
+    return ((gram >> np.uint64(33)) * np.uint64(number) >> np.uint64(31)).astype(np.int64)
 
 
 def build(gram: np.ndarray, level: np.ndarray) -> bytes:
@@ -115,18 +118,35 @@ def build(gram: np.ndarray, level: np.ndarray) -> bytes:
     return np.packbits(bits, bitorder="little").tobytes()
 
 
+def batch_grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """grams of a batch, and index of each text's first word and the number of words.
+
+    Texts are hashed in small slices, as their bytes take many times their room, but looked at over the whole batch.
+    """
+    parts, firsts, n = [], [np.zeros(1, np.int64)], 0
+    for _, _, data, offsets in slices(texts):
+        word, first = words(data, offsets)
+        parts.append(grams(word, first))
+        firsts.append(first[1:] + n)
+        n += len(word)
+    if not parts:
+        parts.append(grams(np.zeros(0, np.uint64), np.zeros(1, np.int64)))
+    one, two, has = (np.concatenate(x) for x in zip(*parts))
+    return one, two, has, np.concatenate(firsts)
+
+
 def counts(texts: DataFrame, number: int) -> DataFrame:
     """shard, gram, n of every n-gram, each shard in one partition; one shuffle."""
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for _, _, data, offsets in slices(batch.column(0), 16 << 20):
-            one, two, has = grams(*words(data, offsets))
-            for kind, own in enumerate((one, two[has])):
-                gram, n = np.unique(own, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(shard_of(gram, number).astype(np.int32)), pa.array(gram.view(np.int64)), pa.array(n), pa.array(np.full(len(n), kind == 0))], ["shard", "gram", "n", "single"])
+        one, two, has, _ = batch_grams(batch.column(0))
+        for own in (one, two[has]):
+            gram, n = np.unique(own, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(n)], ["gram", "n"])
 
-    counted = arrow_map(texts.select("text"), work, "shard int, gram long, n long, single boolean").repartition("shard")
-    return counted.groupBy("shard", "gram").agg(F.sum("n").alias("n"), F.first("single").alias("single"))
+    shard = F.shiftright(F.shiftrightunsigned("gram", 33) * number, 31).cast("int")
+    counted = arrow_map(texts.select("text"), work, "gram long, n long").withColumn("shard", shard).repartition(min(number, TASKS), "shard")
+    return counted.groupBy("shard", "gram").agg(F.sum("n").alias("n"))
 
 
 class Scale:
@@ -152,7 +172,8 @@ def gather(texts: DataFrame) -> tuple[DataFrame, DataFrame, Scale, int]:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in whole_runs(batches):
             cuts = runs_of(whole.column(0).to_numpy())
-            gram, n, single = whole.column(1).to_numpy().view(np.uint64), whole.column(2).to_numpy(), whole.column(3).to_numpy(zero_copy_only=False)
+            gram, n = whole.column(1).to_numpy().view(np.uint64), whole.column(2).to_numpy()
+            single = (gram & np.uint64(1)).astype(bool)
             for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
                 bits = build(gram[a:b], level_of(n[a:b]))
                 yield pa.RecordBatch.from_arrays([pa.array([int(whole.column(0)[a].as_py())], pa.int32()), pa.array([bits], pa.binary()), pa.array([int(n[a:b][single[a:b]].sum())]), pa.array([int(single[a:b].sum())])], ["shard", "bits", "total", "vocabulary"])
@@ -174,20 +195,22 @@ def scored(docs: DataFrame, filter_mb: float = FILTER_MB) -> DataFrame:
     shared = texts.sparkSession.sparkContext.broadcast(own)
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for low, high, data, offsets in slices(batch.column(1), 4 << 20):
-            word, first = words(data, offsets)
-            one, two, has = grams(word, first)
-            single = shared.value.levels(one)
-            double = np.zeros(len(word), np.int64)
-            double[has] = shared.value.levels(two[has])
-            before = np.concatenate([[0], single[:-1]]) if len(single) else single
+        for low, high, _, _ in slices(batch.column(1), PART):
+            one, two, has, first = batch_grams(batch.column(1).slice(low, high - low))
+            single, double = (_levels(shared.value, x) for x in (one, two))
+            before = np.concatenate([single[:1], single[:-1]])
             total = np.concatenate([[0.0], np.cumsum(scale.log2(single, double, before, has))])
-            n, sums = np.diff(first), total[first[1:]] - total[first[:-1]]
-            yield _rows(batch.column(0).slice(low, high - low), n, sums)
+            yield _rows(batch.column(0).slice(low, high - low), np.diff(first), total[first[1:]] - total[first[:-1]])
 
     return arrow_map(texts, work, SCHEMA)
 
 
+def _levels(own: Filter, gram: np.ndarray) -> np.ndarray:
+    """Levels, each n-gram probed once."""
+    distinct, back = np.unique(gram, return_inverse=True)
+    return own.levels(distinct)[back]
+
+
 def _rows(ids: pa.Array, n: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
     with np.errstate(over="ignore"):
         perplexity = np.where(n > 0, np.exp2(-sums / np.maximum(n, 1)), np.nan)
@@ -199,12 +222,10 @@ def _joined(texts: DataFrame, levels: DataFrame, scale: Scale) -> DataFrame:
     keyed = texts.withColumn("key", F.xxhash64("doc_id", "text"))
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for low, _, data, offsets in slices(batch.column(1), 4 << 20):
-            word, first = words(data, offsets)
-            one, two, has = grams(word, first)
-            row = np.repeat(np.arange(len(first) - 1), np.diff(first)) + low
-            before = np.concatenate([one[:1], one[:-1]])
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(before.view(np.int64)), pa.array(has)], ["key", "one", "two", "before", "has"])
+        one, two, has, first = batch_grams(batch.column(1))
+        row = np.repeat(np.arange(len(first) - 1), np.diff(first))
+        before = np.concatenate([one[:1], one[:-1]])
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(before.view(np.int64)), pa.array(has)], ["key", "one", "two", "before", "has"])
 
     rows = arrow_map(keyed.dropDuplicates(["key"]).select("key", "text"), work, "key long, one long, two long, before long, has boolean")
     for name in ("one", "two", "before"):
