@@ -399,6 +399,14 @@ def bgp_path(spark, folder):
     return graph.select(own.select("s", "p", "o"), _PREFIX + "SELECT ?x ?y WHERE { ?x ex:up+ ?y }")
 
 
+@query("bgp_path_all", f"""WITH RECURSIVE e AS (SELECT o_orderkey AS a, o_orderkey // 2 AS b FROM orders), w AS (SELECT a, b FROM e UNION SELECT w.a, e.b FROM w JOIN e ON w.b = e.a) SELECT '{EX}' || a AS x, '{EX}' || b AS y FROM w""")
+def bgp_path_all(spark, folder):
+    """As bgp_path, over all orders."""
+    rows = table(spark, folder, "orders").select(F.col("o_orderkey").alias("doc_id"), F.lit("").alias("text"), F.floor(F.col("o_orderkey") / 2).alias("up"))
+    own = engine.run("""[{prefix: ex, iri: http://example.org/}, {subject: "ex:@{doc_id}", predicate: ex:up, object: {iri: "ex:@{up}"}}]""", rows).graph
+    return graph.select(own.select("s", "p", "o"), _PREFIX + "SELECT ?x ?y WHERE { ?x ex:up+ ?y }")
+
+
 @query("select_first", f"SELECT p_partkey AS doc_id, p_brand || ' ' || (SELECT min(n_name) FROM nation WHERE n_regionkey = 2) AS message FROM part")
 def select_first(spark, folder):
     rows = table(spark, folder, "part").select(F.col("p_partkey").alias("doc_id"), F.col("p_brand").alias("text"), "p_brand")
