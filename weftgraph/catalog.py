@@ -114,6 +114,12 @@ def replace_text(spark, folder):
     return messages(over_documents(spark, folder, r"""[{replace: '([a-z]+) ([a-z]+)', with: '\2$\1'}, {match: '^(.{0,60})', as: m, do: [{echo: "@{m.1}"}]}]"""))
 
 
+@query("replace_text_all", r"SELECT doc_id, regexp_replace(text, '([a-z]+) ([a-z]+)', '\2$\1', 'g') AS message FROM documents")
+def replace_text_all(spark, folder):
+    """As replace_text, with the whole of each replaced text."""
+    return messages(over_documents(spark, folder, r"""[{replace: '([a-z]+) ([a-z]+)', with: '\2$\1'}, {match: '^(.*)', as: m, do: [{echo: "@{m.1}"}]}]"""))
+
+
 @query("template_format", r"SELECT p_partkey AS doc_id, regexp_replace(trim(p_name), '[^a-zA-Z0-9_-]', '_', 'g') || '|' || trim(p_type) || '|' || p_name AS message FROM part")
 def template_format(spark, folder):
     return messages(over_table(spark, folder, "part", "p_partkey", "p_name", """[{echo: "@{p_name:iri}|@{p_type:trim}|@{p_name:norm}"}]""", "p_name", "p_type"))
