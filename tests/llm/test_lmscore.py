@@ -69,3 +69,21 @@ def test_odd_rows(frame, odd, limit):
     assert own[4].words == 60_000 and own[7].words == 1 and own[8].words == 1
     assert sum(r.doc_id == 5 for r in got) == 2 and own[5].perplexity == pytest.approx(own[6].perplexity)
     assert m.scored(frame([]), limit).count() == 0
+
+
+@pytest.mark.parametrize("limit", [m.FILTER_MB, 1e-2])
+def test_filter_is_probed_at_every_size(spark, limit):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").limit(60)
+    docs = docs.unionByName(docs).unionByName(docs)  # parts of equal content
+    rows = docs.collect()
+    _, made, scale, number = m.gather(docs)
+    own = m.Filter([(r.shard, bytes(r.bits)) for r in made.collect()], number, scale.total, scale.vocabulary)
+    want = []
+    for r in rows:
+        word = text_words(r.text)
+        one, two, has = m.grams(word, np.array([0, len(word)]))
+        single = own.levels(one)
+        log = scale.log2(single, own.levels(two), np.concatenate([single[:1], single[:-1]]), has)
+        want.append((r.doc_id, len(word), float(log.sum())))
+    got = sorted((r.doc_id, r.words, r.log2_prob) for r in m.scored(docs, limit).collect())
+    assert len(got) == len(want) and all(g[:2] == w[:2] and g[2] == pytest.approx(w[2], abs=1e-5) for g, w in zip(got, sorted(want)))

@@ -6,9 +6,9 @@ back (never too low; too high with the filter's small error), and the middle of
 probability of a word interpolates its share after the word before it with its share in the corpus (one added):
 p = LAMBDA * min(1, c(vw) / c(v)) + (1 - LAMBDA) * (c(w) + 1) / (N + V + 1); a document's first word has the latter.
 
-The filter is built in shards by the hash of the n-grams, so no task needs it whole. Up to FILTER_MB it is broadcast
-and documents are scored in one narrow pass; a larger one stays where it is, and the levels are joined to the words by
-a shuffle instead (the same scores, but for the filter's errors).
+The filter is built in shards by the hash of the n-grams, so no task needs it whole, and at every size it is probed where
+its shards are: the distinct n-grams of each PART of the texts go to their shards, and the levels found come back to the
+part's texts, which are scored in one pass.
 
 A row for each document: words, log2 of its probability, perplexity per word. Texts that are NULL, empty or wordless
 have 0 words, 0 and NULL. Repeated documents count as often as they occur, and each has its row; a NULL doc_id is
@@ -17,6 +17,8 @@ carried. Extra columns are ignored.
 
 from __future__ import annotations
 
+import gc
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -32,7 +34,7 @@ BASE = 1.5
 LAMBDA = 0.7
 #: Bits of the filter for each pair, and those that a pair sets: an error of about 2 %.
 BITS, PROBES = 8, 5
-#: MB of text whose n-grams share a shard, about; tasks that count them, at most; MB of filter that are broadcast at most.
+#: MB of text whose n-grams share a shard, about; tasks that count them, at most; MB of filter that a task probes, about.
 SHARD_MB, TASKS, FILTER_MB = 4, 20_000, 128
 #: Bytes of text that a worker scores at once.
 PART = 2 << 20
@@ -185,30 +187,102 @@ def gather(texts: DataFrame) -> tuple[DataFrame, DataFrame, Scale, int]:
 
 
 def scored(docs: DataFrame, filter_mb: float = FILTER_MB) -> DataFrame:
-    """doc_id, words, log2_prob, perplexity of each document, by the model of all of them."""
+    """doc_id, words, log2_prob, perplexity of each document, by the model of all of them; filter_mb 0 takes exact levels."""
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"))
     levels, made, scale, number = gather(texts)
-    size = made.agg(F.sum(F.octet_length("bits"))).first()[0] or 0
-    if size > filter_mb * 1e6:
+    if not filter_mb:
         return _joined(texts, levels, scale)
-    own = Filter([(r.shard, bytes(r.bits)) for r in made.select("shard", "bits").toLocalIterator()], number, scale.total, scale.vocabulary)
-    shared = texts.sparkSession.sparkContext.broadcast(own)
-
-    def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for low, high, _, _ in slices(batch.column(1), PART):
-            one, two, has, first = batch_grams(batch.column(1).slice(low, high - low))
-            single, double = (_levels(shared.value, x) for x in (one, two))
-            before = np.concatenate([single[:1], single[:-1]])
-            total = np.concatenate([[0.0], np.cumsum(scale.log2(single, double, before, has))])
-            yield _rows(batch.column(0).slice(low, high - low), np.diff(first), total[first[1:]] - total[first[:-1]])
+    del levels
+    # the counts' shuffle isn't needed any more, and would stay on disk beside the next ones
+    gc.collect()
+    texts.sparkSession.sparkContext._jvm.System.gc()
+    size = made.agg(F.sum(F.octet_length("bits"))).first()[0] or 0
+    return _probed(texts, made, scale, number, max(min(number, TASKS), math.ceil(size / (filter_mb * 1e6))))
 
-    return arrow_map(texts, work, SCHEMA)
 
+def _parts(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray, int]]:
+    """(rows, their n-grams, key) of each part of a batch.
 
-def _levels(own: Filter, gram: np.ndarray) -> np.ndarray:
-    """Levels, each n-gram probed once."""
-    distinct, back = np.unique(gram, return_inverse=True)
-    return own.levels(distinct)[back]
+    Parts of one key have the same words in the same documents, so they can share their levels.
+    """
+    for low, high, _, _ in slices(batch.column(1), PART):
+        own = batch.slice(low, high - low)
+        one, two, has, first = batch_grams(own.column(1))
+        key = hashlib.blake2b(one.tobytes() + first.tobytes(), digest_size=8).digest()
+        yield own, np.concatenate([one, two[has]]), int.from_bytes(key, "little", signed=True)
+
+
+def _binary(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The values cut into binary items; ends: of each item, and 0 before the first."""
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer((ends * values.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _probed(texts: DataFrame, made: DataFrame, scale: Scale, number: int, tasks: int) -> DataFrame:
+    """Scores by the filter where it lies: each part's n-grams go to their shards, and their levels to the part's texts."""
+
+    def ask(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for _, gram, key in _parts(batch):
+            gram = np.unique(gram)  # in order of their shards, too
+            shard = shard_of(gram, number)
+            cuts = runs_of(shard)
+            if len(gram):
+                yield pa.RecordBatch.from_arrays([pa.array(shard[cuts[:-1]].astype(np.int32)), pa.array(np.full(len(cuts) - 1, key)), pa.array(np.ones(len(cuts) - 1, np.int32)), _binary(gram, cuts)], ["shard", "part", "kind", "data"])
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, own = -1, None
+        for batch in batches:
+            shard, kind = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            cuts = runs_of(shard.astype(np.int64) * 2 + kind)
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                if not kind[a]:
+                    at, own = int(shard[a]), Filter([(0, batch.column(3)[a].as_py())], 1, scale.total, scale.vocabulary)
+                    continue
+                if own is None or at != shard[a]:
+                    raise ValueError("n-grams without their shard of the filter")
+                items = [np.frombuffer(x.as_buffer(), np.uint8) for x in batch.column(3).slice(a, b - a)]
+                ends = np.concatenate([[0], np.cumsum([len(x) // 8 for x in items])])
+                level = own.levels(np.concatenate(items).view(np.uint64)).astype(np.int8)
+                yield pa.RecordBatch.from_arrays([batch.column(1).slice(a, b - a), batch.column(0).slice(a, b - a), _binary(level, ends)], ["part", "shard", "data"])
+
+    def carry(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for own, _, key in _parts(batch):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, own.schema) as out:
+                out.write_batch(own)
+            yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([-1], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["part", "shard", "data"])
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in whole_runs(batches):
+            cuts = runs_of(whole.column(0).to_numpy())
+            shard, data = whole.column(1).to_numpy(), whole.column(2)
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                start = a + int(np.searchsorted(shard[a:b], 0))
+                # parts of equal content have sent the same levels
+                once = np.unique(shard[start:b], return_index=True)[1] + start
+                level = np.concatenate([np.zeros(0, np.int8), *(np.frombuffer(data[k].as_py(), np.int8) for k in once.tolist())])
+                for k in range(a, start):
+                    for read in pa.ipc.open_stream(data[k].as_py()):
+                        yield _scored_part(read, level, scale)
+
+    asked = arrow_map(texts, ask, "shard int, part long, kind int, data binary")
+    bits = made.select("shard", F.lit(0).cast("long").alias("part"), F.lit(0).alias("kind"), F.col("bits").alias("data"))
+    found = bits.unionByName(asked).repartition(tasks, "shard").sortWithinPartitions("shard", "kind").mapInArrow(probe, "part long, shard int, data binary")
+    carried = arrow_map(texts, carry, "part long, shard int, data binary")
+    return carried.unionByName(found).repartition(tasks, "part").sortWithinPartitions("part", "shard").mapInArrow(score, SCHEMA)
+
+
+def _scored_part(rows: pa.RecordBatch, level: np.ndarray, scale: Scale) -> pa.RecordBatch:
+    """Scores of a part's rows, from the levels of its distinct n-grams."""
+    one, two, has, first = batch_grams(rows.column(1))
+    gram, back = np.unique(np.concatenate([one, two[has]]), return_inverse=True)
+    if len(gram) != len(level):
+        raise ValueError("a part's n-grams and levels differ: its texts came in another order")
+    found = level[back].astype(np.int64)
+    single, double = found[: len(one)], np.zeros(len(one), np.int64)
+    double[has] = found[len(one) :]
+    before = np.concatenate([single[:1], single[:-1]])
+    total = np.concatenate([[0.0], np.cumsum(scale.log2(single, double, before, has))])
+    return _rows(rows.column(0), np.diff(first), total[first[1:]] - total[first[:-1]])
 
 
 def _rows(ids: pa.Array, n: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
@@ -218,7 +292,7 @@ def _rows(ids: pa.Array, n: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
 
 
 def _joined(texts: DataFrame, levels: DataFrame, scale: Scale) -> DataFrame:
-    """Scores where the filter is too large to broadcast: levels are joined to the words."""
+    """Scores without the filter: exact levels are joined to the words."""
     keyed = texts.withColumn("key", F.xxhash64("doc_id", "text"))
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
