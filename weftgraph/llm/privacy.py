@@ -53,7 +53,7 @@ _CLASSES = (
 )
 _ENTITY = re.compile("|".join(f"(?P<c{k}>{p})" for k, (_, p) in enumerate(_CLASSES)))
 #: What a text without it can't hold an entity.
-_HINT = r"[0-9@]|PRIVATE KEY|(?i:pass|pwd|secret|token|key|auth)"
+_HINT = r"[0-9@]|\p{Nd}|PRIVATE KEY|AKIA|ASIA|gh[pousr]_|sk-|xox[abprs]-|eyJ|(?:[A-Fa-f]{1,4}:){7}|(?i:pass|pwd|secret|token|key|auth)"
 _WORD = re.compile(r"[^\W_]+")
 
 
