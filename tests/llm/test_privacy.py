@@ -102,6 +102,13 @@ def test_sanitised(frame, corpus, odd):
     assert p.sanitise(frame([])).count() == 0
 
 
+def test_words_far_away_or_beyond_an_identifier(frame):
+    rows = [(k, f"Vexmora {prose(k, 80)} jo@ex1.org {prose(k + 50, 9)}") for k in range(5)]
+    rows += [(10 + k, f"{prose(k + 100, 9)} Quilbert, a{k}@ex2.org, 555-123-4567 {prose(k + 200, 9)}") for k in range(5)]
+    for r in p.sanitised(frame(rows)).collect():
+        assert "Vexmora" not in r.text and "Quilbert" not in r.text and r.disclosing == 1
+
+
 def test_words_beyond_broadcast(frame, corpus, odd, monkeypatch):
     docs = frame([*corpus, *odd])
     want = sorted(((r.doc_id, r.text, r.entities, r.disclosing) for r in p.sanitised(docs).collect()), key=str)

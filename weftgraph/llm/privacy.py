@@ -2,14 +2,14 @@
 
 Protected entities are identifiers with a form of their own: e-mail addresses, telephone, card, account and social
 security numbers, network addresses, keys, tokens and passwords. Each is replaced by its class. What stands around an
-entity may reveal it too: for each word t of at least LEAST different contexts of one entity e (its WINDOW words on
-either side; copies of a passage are one context) the corpus tells how many contexts hold both and in how many
+entity may reveal it too: for each word t of at least LEAST different contexts of one entity e (the whole documents that
+hold it, without their identifiers; documents of the same words are one context) the corpus tells how many contexts hold both and in how many
 documents t occurs at all. Of the IC(e) = -log2 p(e) bits that hide the entity the word discloses
 PMI(e; t) = log2 p(e, t) / (p(e) p(t)), which leaves IC - PMI = -log2 p(e | t) bits. A word that leaves at most
 REMOVE bits for some entity is removed wherever it occurs, one that leaves at most GENERALISE bits becomes the class of
 words that it belongs to. Words are compared by their letters and digits, in lower case; marks stay.
 
-A context counts as a document of its own in p(e, t), so that p(e | t) is at most 1. Texts that hold neither stay as
+As copies count in p(t) but once in p(e, t), p(e | t) is at most 1. Texts that hold neither stay as
 they are, byte by byte; NULL and empty texts too. Every row is judged by itself once the words are known, so repeated
 rows and NULL ids are no matter. Extra columns are ignored, or carried by ``sanitise``, which keeps n_chars (if there
 is one) in step. An empty table gives no rows.
@@ -31,7 +31,6 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 from weftgraph.llm.kernel import arrow_map, mix, slices, span_hashes, spans, fold, unused, words
 from weftgraph.session import shared_folder
 
-WINDOW = 6
 LEAST = 3
 #: Bits left of an entity's information.
 REMOVE, GENERALISE = 0.25, 1.0
@@ -79,45 +78,62 @@ def _hinted(texts: pa.Array) -> list[int]:
 
 
 def around(text: str) -> Iterator[tuple[str, list[str]]]:
-    """(entity in normal form, distinct words of its context) of each occurrence."""
+    """(entity in normal form, words of its context) of each occurrence; the context is the text without identifiers."""
     found = list(entities(text))
-    for k, (low, high, kind) in enumerate(found):
-        left = text[found[k - 1][1] if k else 0 : low][-40 * WINDOW :]
-        right = text[high : found[k + 1][0] if k + 1 < len(found) else len(text)][: 40 * WINDOW]
-        near = _WORD.findall(left)[-WINDOW:] + _WORD.findall(right)[:WINDOW]
+    ends = [0, *(high for _, high, _ in found)]
+    words = [w for a, b in zip(ends, [*(low for low, _, _ in found), len(text)]) for w in _WORD.findall(text[a:b])]
+    for low, high, kind in found:
         entity = text[low:high].lower()
-        yield f"{kind}:{entity if kind in ('EMAIL', 'SECRET', 'IP') else re.sub('[^0-9a-z]', '', entity)}", near
+        yield f"{kind}:{entity if kind in ('EMAIL', 'SECRET', 'IP') else re.sub('[^0-9a-z]', '', entity)}", words
 
 
-def _contexts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """entity, context, word: hashes of each word near an entity."""
-    names, near, places = [], [], []
-    texts = batch.column(0)
+def _contexts(texts: pa.Array) -> Iterator[tuple[int, set[str], np.ndarray]]:
+    """(context, its entities, hashes of its words) of each text with an entity; a context is the multiset of its words."""
     for k in _hinted(texts):
-        for name, own in around(texts[k].as_py()):
-            places += [len(names)] * len(own)
-            names.append(name)
-            near += own
-    word = word_hashes(near)
-    place = np.array(places, np.int64)
-    # a context is the multiset of its words
-    context = np.zeros(len(names), np.uint64)
-    np.add.at(context, place, mix(word + np.uint64(0x632BE59BD9B4E019)))
+        own = list(around(texts[k].as_py()))
+        if own:
+            word = word_hashes(own[0][1])
+            yield int(mix(word + np.uint64(0x632BE59BD9B4E019)).sum(dtype=np.uint64).view(np.int64)), {name for name, _ in own}, word
+
+
+def _named(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """entity, context: hashes of each entity and of the text that it is in."""
+    names, places = [], []
+    for context, own, _ in _contexts(batch.column(0)):
+        names += own
+        places += [context] * len(own)
     entity = word_hashes([n.encode().hex() for n in names])
-    yield pa.RecordBatch.from_arrays([pa.array(entity[place].view(np.int64)), pa.array(context[place].view(np.int64)), pa.array(word.view(np.int64))], ["entity", "context", "word"])
+    yield pa.RecordBatch.from_arrays([pa.array(entity.view(np.int64)), pa.array(np.array(places, np.int64))], ["entity", "context"])
 
 
 def disclosing(docs: DataFrame, least: int = LEAST, generalise: float = GENERALISE) -> DataFrame:
     """word, bits: hash of each word that discloses an entity, and the bits it leaves; in the shared folder.
 
-    One pass looks for entities; if none has a word in enough contexts that is all, else a second counts those words'
-    documents.
+    One pass looks for entities; if none is in enough contexts that is all, else a second gathers the words of those
+    contexts, and a third counts the documents of the words that go with an entity often enough.
     """
     spark = docs.sparkSession
     shared_folder(spark)
     texts = docs.select(F.col("text").cast("string").alias("text"))
-    pairs = arrow_map(texts, _contexts, "entity long, context long, word long").distinct()
-    both = pairs.groupBy("entity", "word").agg(F.count("*").alias("together")).filter(F.col("together") >= least)
+    named = arrow_map(texts, _named, "entity long, context long").distinct().checkpoint()
+    often = named.groupBy("entity").agg(F.count("*").alias("contexts")).filter(F.col("contexts") >= least).select("entity")
+    kept = named.join(often, "entity").checkpoint()
+    marks = [r.mark for r in kept.select(F.pmod("context", F.lit(SIEVE)).cast("int").alias("mark")).distinct().collect()]
+    if not marks:
+        return spark.createDataFrame([], "word long, bits double")
+    held_contexts = np.zeros(SIEVE, bool)
+    held_contexts[marks] = True
+    shared_contexts = spark.sparkContext.broadcast(np.packbits(held_contexts))
+
+    def gather(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        sieve = np.unpackbits(shared_contexts.value)
+        for context, _, word in _contexts(batch.column(0)):
+            if sieve[context % SIEVE]:
+                word = np.unique(word.view(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(word), context, np.int64)), pa.array(word)], ["context", "word"])
+
+    inside = arrow_map(texts, gather, "context long, word long").distinct()
+    both = kept.join(inside, "context").groupBy("entity", "word").agg(F.count("*").alias("together")).filter(F.col("together") >= least)
     both = both.groupBy("word").agg(F.max("together").alias("together")).checkpoint()
     marks = [r.mark for r in both.select(F.pmod("word", F.lit(SIEVE)).cast("int").alias("mark")).distinct().collect()]
     if not marks:
