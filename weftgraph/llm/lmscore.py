@@ -6,47 +6,53 @@ back (never too low; too high with the filter's small error), and the middle of
 probability of a word interpolates its share after the word before it with its share in the corpus (one added):
 p = LAMBDA * min(1, c(vw) / c(v)) + (1 - LAMBDA) * (c(w) + 1) / (N + V + 1); a document's first word has the latter.
 
-The filter is built in shards by the hash of the n-grams, so no task needs it whole, and at every size it is probed where
-its shards are: the distinct n-grams of each PART of the texts go to their shards, and the levels found come back to the
-part's texts, which are scored in one pass.
+The filter grows with the corpus, so it isn't broadcast whole: it lies in shards by the hash of the n-grams, and at every
+size it is probed where its shards are. Each PART of the texts sends its distinct n-grams and their counts to the
+shards, once and packed into some four bytes each; a shard adds them up, sets the bits of its filter, probes it for
+all that it was sent, and sends the levels back to the parts, which are scored in one pass. A hot n-gram arrives once
+from each part, and parts have keys of their own even where their texts are equal, so no task's share grows with a
+frequent word, a source or a group of copies.
 
 A row for each document: words, log2 of its probability, perplexity per word. Texts that are NULL, empty or wordless
-have 0 words, 0 and NULL. Repeated documents count as often as they occur, and each has its row; a NULL doc_id is
-carried. Extra columns are ignored.
+have 0 words, 0 and NULL. A very long text is a part of its own, counted and scored whole. Repeated documents count as
+often as they occur, and each has its row; equal texts tie, and a NULL doc_id is carried. Extra columns, whatever their
+names, are ignored. An empty table gives no rows. The texts are read twice and must read alike (as a table's do).
 """
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm.kernel import arrow_map, mix, runs_of, slices, whole_runs, words
+from weftgraph.llm.kernel import mix, runs_of, slices, whole_runs, words
 from weftgraph.session import shared_folder
 
 BASE = 1.5
 LAMBDA = 0.7
-#: Bits of the filter for each pair, and those that a pair sets: an error of about 2 %.
-BITS, PROBES = 8, 5
-#: MB of text whose n-grams share a shard, about; tasks that count them, at most; MB of filter that a task probes, about.
-SHARD_MB, TASKS, FILTER_MB = 4, 20_000, 128
-#: Bytes of text that a worker scores at once.
+#: Bits of the filter for each pair, and those that a pair sets: an error of about 0.3 %.
+BITS, PROBES = 12, 7
+#: MB of text whose n-grams share a shard, about; tasks that the shards and the parts are spread over, at most.
+SHARD_MB, TASKS = 8, 20_000
+#: Bytes of text that send n-grams and are scored at once.
 PART = 2 << 20
+#: Bits of an n-gram's hash that are told apart within its shard, the kind among them.
+WIDTH = 40
 SCHEMA = "doc_id long, words int, log2_prob double, perplexity double"
 _ONE, _TWO = np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
 def grams(word: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(odd hash of each word's unigram, even hash of its bigram with the word before, whether it has one)."""
-    one = mix(word * _ONE) | np.uint64(1)
+    """(hash of each word's unigram, hash of its bigram with the word before, whether it has one)."""
+    one = mix(word * _ONE)
     two = np.zeros(len(word), np.uint64)
-    two[1:] = mix(word[:-1] * _TWO + mix(word[1:])) & ~np.uint64(1)
+    two[1:] = mix(word[:-1] * _TWO + mix(word[1:]))
     has = np.ones(len(word), bool)
     starts = first[:-1]
     has[starts[starts < len(word)]] = False
@@ -65,59 +71,55 @@ def count_of(level: np.ndarray) -> np.ndarray:
     return np.where(np.asarray(level) > 0, (low + high) / 2, 0.0)
 
 
-def _places(gram: np.ndarray, level: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
+def _places(item: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
     """Two hashes of each pair, from which its bits follow."""
-    a = mix(gram + np.asarray(level, np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    a = mix(item * _ONE + np.uint64(level * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
     return a, mix(a ^ np.uint64(0xD6E8FEB86659FD93)) | np.uint64(1)
 
 
-class Filter:
-    """The shards side by side: bits, where each shard starts in bytes, and its number of bits."""
-
-    def __init__(self, shards: list[tuple[int, bytes]], number: int, total: int, vocabulary: int):
-        self.number, self.total, self.vocabulary = number, total, vocabulary
-        self.starts, self.sizes = np.zeros(number, np.int64), np.full(number, 8, np.uint64)
-        at, parts = 1, [b"\0"]
-        for shard, bits in shards:
-            self.starts[shard], self.sizes[shard] = at, len(bits) * 8
-            parts.append(bits)
-            at += len(bits)
-        self.bits = np.frombuffer(b"".join(parts), np.uint8)
-
-    def levels(self, gram: np.ndarray) -> np.ndarray:
-        """Level of each n-gram."""
-        found = np.zeros(len(gram), np.int64)
-        shard = shard_of(gram, self.number)
-        start, size = self.starts[shard], self.sizes[shard]
-        left = np.arange(len(gram))
-        level = 0
-        while len(left):
-            level += 1
-            a, b = _places(gram[left], level)
-            for k in range(PROBES):
-                bit = (a + np.uint64(k) * b) % size[left]
-                held = self.bits[start[left] + (bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8) & 1 > 0
-                left, a, b = left[held], a[held], b[held]
-                if not len(left):
-                    break
-            found[left] = level
-        return found
-
-
-def shard_of(gram: np.ndarray, number: int) -> np.ndarray:
-    """The shard of each n-gram, by its leading bits."""
-    return ((gram >> np.uint64(33)) * np.uint64(number) >> np.uint64(31)).astype(np.int64)
-
-
-def build(gram: np.ndarray, level: np.ndarray) -> bytes:
-    """The bits of one shard."""
+def build(item: np.ndarray, level: np.ndarray) -> np.ndarray:
+    """The bits of one shard, packed."""
     size = max(1, -(-int(level.sum()) * BITS // 8)) * 8
     bits = np.zeros(size, np.uint8)
     for now in range(1, int(level.max()) + 1 if len(level) else 1):
-        a, b = _places(gram[level >= now], now)
+        a, b = _places(item[level >= now], now)
         for k in range(PROBES):
             bits[((a + np.uint64(k) * b) % np.uint64(size)).astype(np.int64)] = 1
-    return np.packbits(bits, bitorder="little").tobytes()
+    return np.packbits(bits, bitorder="little")
+
+
+def probe(bits: np.ndarray, item: np.ndarray) -> np.ndarray:
+    """Level of each item by a shard's bits: of level after level until one is missing."""
+    found = np.zeros(len(item), np.int64)
+    size = np.uint64(len(bits) * 8)
+    left = np.arange(len(item))
+    level = 0
+    while len(left):
+        level += 1
+        a, b = _places(item[left], level)
+        for k in range(PROBES):
+            bit = (a + np.uint64(k) * b) % size
+            held = bits[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8) & 1 > 0
+            left, a, b = left[held], a[held], b[held]
+            if not len(left):
+                break
+        found[left] = level
+    return found
+
+
+def placed(gram: np.ndarray, number: int, pair: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(shard of each n-gram, what tells it apart there); both are in order where the n-grams are."""
+    n, half = np.uint64(number), np.uint64(32)
+    shard = ((gram >> half) * n + ((gram & np.uint64(0xFFFFFFFF)) * n >> half)) >> half
+    return shard.astype(np.int32), gram * n >> np.uint64(65 - WIDTH) | np.uint64(pair) << np.uint64(WIDTH - 1)
+
+
+def distinct(one: np.ndarray, two: np.ndarray, number: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct unigrams, distinct bigrams, order of both by shard, their shards, items), the last two in this order."""
+    singles, pairs = np.unique(one), np.unique(two)
+    shard, item = (np.concatenate(x) for x in zip(placed(singles, number, False), placed(pairs, number, True)))
+    order = np.argsort(shard, kind="stable")
+    return singles, pairs, order, shard[order], item[order]
 
 
 def batch_grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -137,20 +139,6 @@ def batch_grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     return one, two, has, np.concatenate(firsts)
 
 
-def counts(texts: DataFrame, number: int) -> DataFrame:
-    """shard, gram, n of every n-gram, each shard in one partition; one shuffle."""
-
-    def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        one, two, has, _ = batch_grams(batch.column(0))
-        for own in (one, two[has]):
-            gram, n = np.unique(own, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(n)], ["gram", "n"])
-
-    shard = F.shiftright(F.shiftrightunsigned("gram", 33) * number, 31).cast("int")
-    counted = arrow_map(texts.select("text"), work, "gram long, n long").withColumn("shard", shard).repartition(min(number, TASKS), "shard")
-    return counted.groupBy("shard", "gram").agg(F.sum("n").alias("n"))
-
-
 class Scale:
     """What the probabilities need besides levels."""
 
@@ -164,88 +152,130 @@ class Scale:
         return np.log2(np.where(has, LAMBDA * share + (1 - LAMBDA) * single, single))
 
 
-def gather(texts: DataFrame) -> tuple[DataFrame, DataFrame, Scale, int]:
-    """(levels: shard, gram, level; filter: shard, bits; scale; number of shards); the tables are in the shared folder."""
-    shared_folder(texts.sparkSession)
+def shards(texts: DataFrame) -> int:
+    """Shards for the texts' n-grams."""
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    number = max(16, math.ceil(size / (SHARD_MB * 1e6)))
-    rows = counts(texts, number).sortWithinPartitions("shard")
+    return min(1 << 31, max(16, math.ceil(size / (SHARD_MB * 1e6))))
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, int, tuple[np.ndarray, ...]]]:
+    """(rows, key, n-grams) of each part; the key is of what is in it and where it was read."""
+    context = TaskContext.get()
+    count = 0
+    for batch in batches:
+        for low, high, _, _ in slices(batch.column(1), PART):
+            own = batch.slice(low, high - low)
+            found = batch_grams(own.column(1))
+            mark = hashlib.blake2b(found[0].tobytes() + found[3].tobytes(), digest_size=8)
+            mark.update(f"{context.partitionId() if context else 0} {count}".encode())
+            count += 1
+            yield own, int.from_bytes(mark.digest(), "little", signed=True), found
+
+
+def _binary(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The values cut into binary items; ends: of each item, and 0 before the first."""
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer((ends * values.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _flat(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(all bytes of a binary column, where each item starts and the end)."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1]
+    whole = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None and data.size else np.zeros(0, np.uint8)
+    return whole, at.astype(np.int64) - at[0]
+
+
+_SENT = "shard int, part long, low binary, high binary, n binary, more binary"
+_LEVELS = "part long, shard int, data binary, total long, vocabulary long"
+
+
+def sent(texts: DataFrame, number: int) -> DataFrame:
+    """shard, part, low, high, n, more: each part's distinct n-grams and their counts, in a row for each shard."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in whole_runs(batches):
-            cuts = runs_of(whole.column(0).to_numpy())
-            gram, n = whole.column(1).to_numpy().view(np.uint64), whole.column(2).to_numpy()
-            single = (gram & np.uint64(1)).astype(bool)
-            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-                bits = build(gram[a:b], level_of(n[a:b]))
-                yield pa.RecordBatch.from_arrays([pa.array([int(whole.column(0)[a].as_py())], pa.int32()), pa.array([bits], pa.binary()), pa.array([int(n[a:b][single[a:b]].sum())]), pa.array([int(single[a:b].sum())])], ["shard", "bits", "total", "vocabulary"])
+        for _, key, (one, two, has, _) in _parts(batches):
+            if not len(one):
+                continue
+            singles, pairs, order, shard, item = distinct(one, two[has], number)
+            n = np.concatenate([np.bincount(np.searchsorted(singles, one), minlength=len(singles)), np.bincount(np.searchsorted(pairs, two[has]), minlength=len(pairs))])[order]
+            cuts = runs_of(shard)
+            large = n >= 255
+            more = np.concatenate([[0], np.cumsum(large)])[cuts]
+            columns = [
+                pa.array(shard[cuts[:-1]]), pa.array(np.full(len(cuts) - 1, key)), _binary((item & np.uint64(0xFFFFFFFF)).astype(np.uint32), cuts),
+                _binary((item >> np.uint64(32)).astype(np.uint8), cuts), _binary(np.minimum(n, 255).astype(np.uint8), cuts), _binary(n[large].astype(np.int64), more),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["shard", "part", "low", "high", "n", "more"])
 
-    made = rows.mapInArrow(work, "shard int, bits binary, total long, vocabulary long").checkpoint()
-    sums = made.agg(F.sum("total"), F.sum("vocabulary")).first()
-    level = (1 + F.floor(F.log(F.col("n")) / math.log(BASE) + 1e-9)).cast("int")
-    return rows.select("gram", level.alias("level")), made, Scale(sums[0] or 0, sums[1] or 0), number
+    # with fewer shards than tasks each has a partition of its own
+    placed_ = texts.mapInArrow(work, _SENT).repartitionById(min(number, TASKS), F.pmod(F.col("shard"), F.lit(min(number, TASKS))))
+    return placed_.sortWithinPartitions("shard")
 
 
-def scored(docs: DataFrame, filter_mb: float = FILTER_MB) -> DataFrame:
-    """doc_id, words, log2_prob, perplexity of each document, by the model of all of them; filter_mb 0 takes exact levels."""
-    texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"))
-    levels, made, scale, number = gather(texts)
-    if not filter_mb:
-        return _joined(texts, levels, scale)
-    del levels
-    # the counts' shuffle isn't needed any more, and would stay on disk beside the next ones
-    gc.collect()
-    texts.sparkSession.sparkContext._jvm.System.gc()
-    size = made.agg(F.sum(F.octet_length("bits"))).first()[0] or 0
-    return _probed(texts, made, scale, number, max(min(number, TASKS), math.ceil(size / (filter_mb * 1e6))))
+def _opened(whole: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(items, their counts, where each row's start and the end) of rows of ``sent``."""
+    low, _ = _flat(whole.column(2))
+    high, ends = _flat(whole.column(3))
+    n = _flat(whole.column(4))[0].astype(np.int64)
+    n[n == 255] = _flat(whole.column(5))[0].view(np.int64)
+    return high.astype(np.uint64) << np.uint64(32) | low.view(np.uint32), n, ends
 
 
-def _parts(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray, int]]:
-    """(rows, their n-grams, key) of each part of a batch.
+def _filled(item: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int, int]:
+    """(bits of a shard, its distinct items, each item's place among them, total and number of the unigrams)."""
+    own, back = np.unique(item, return_inverse=True)
+    sums = np.bincount(back, weights=n, minlength=len(own))
+    single = own >> np.uint64(WIDTH - 1) == 0
+    return build(own, level_of(sums)), own, back, int(sums[single].sum()), int(single.sum())
 
-    Parts of one key have the same words in the same documents, so they can share their levels.
-    """
-    for low, high, _, _ in slices(batch.column(1), PART):
-        own = batch.slice(low, high - low)
-        one, two, has, first = batch_grams(own.column(1))
-        key = hashlib.blake2b(one.tobytes() + first.tobytes(), digest_size=8).digest()
-        yield own, np.concatenate([one, two[has]]), int.from_bytes(key, "little", signed=True)
 
+def filter_of(texts: DataFrame, number: int) -> DataFrame:
+    """shard, bits, total, vocabulary: the filter of all n-grams, for use beyond ``scored``."""
 
-def _binary(values: np.ndarray, ends: np.ndarray) -> pa.Array:
-    """The values cut into binary items; ends: of each item, and 0 before the first."""
-    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer((ends * values.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in whole_runs(batches):
+            shard = whole.column(0).to_numpy()
+            cuts = runs_of(shard)
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                item, n, _ = _opened(whole.slice(a, b - a))
+                bits, _, _, total, vocabulary = _filled(item, n)
+                yield pa.RecordBatch.from_arrays([pa.array([int(shard[a])], pa.int32()), pa.array([bits.tobytes()], pa.binary()), pa.array([total]), pa.array([vocabulary])], ["shard", "bits", "total", "vocabulary"])
+
+    return sent(texts, number).mapInArrow(work, "shard int, bits binary, total long, vocabulary long")
 
 
-def _probed(texts: DataFrame, made: DataFrame, scale: Scale, number: int, tasks: int) -> DataFrame:
-    """Scores by the filter where it lies: each part's n-grams go to their shards, and their levels to the part's texts."""
+def levels(texts: DataFrame, number: int) -> DataFrame:
+    """part, shard, data: levels that the filter has for the n-grams of each row of ``sent``; total and vocabulary in a row for each shard."""
 
-    def ask(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for _, gram, key in _parts(batch):
-            gram = np.unique(gram)  # in order of their shards, too
-            shard = shard_of(gram, number)
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in whole_runs(batches):
+            shard = whole.column(0).to_numpy()
             cuts = runs_of(shard)
-            if len(gram):
-                yield pa.RecordBatch.from_arrays([pa.array(shard[cuts[:-1]].astype(np.int32)), pa.array(np.full(len(cuts) - 1, key)), pa.array(np.ones(len(cuts) - 1, np.int32)), _binary(gram, cuts)], ["shard", "part", "kind", "data"])
-
-    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, own = -1, None
-        for batch in batches:
-            shard, kind = batch.column(0).to_numpy(), batch.column(2).to_numpy()
-            cuts = runs_of(shard.astype(np.int64) * 2 + kind)
             for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-                if not kind[a]:
-                    at, own = int(shard[a]), Filter([(0, batch.column(3)[a].as_py())], 1, scale.total, scale.vocabulary)
-                    continue
-                if own is None or at != shard[a]:
-                    raise ValueError("n-grams without their shard of the filter")
-                items = [np.frombuffer(x.as_buffer(), np.uint8) for x in batch.column(3).slice(a, b - a)]
-                ends = np.concatenate([[0], np.cumsum([len(x) // 8 for x in items])])
-                level = own.levels(np.concatenate(items).view(np.uint64)).astype(np.int8)
-                yield pa.RecordBatch.from_arrays([batch.column(1).slice(a, b - a), batch.column(0).slice(a, b - a), _binary(level, ends)], ["part", "shard", "data"])
-
-    def carry(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for own, _, key in _parts(batch):
+                item, n, ends = _opened(whole.slice(a, b - a))
+                bits, own, back, total, vocabulary = _filled(item, n)
+                found = probe(bits, own).astype(np.int8)[back]
+                m = b - a
+                nothing = pa.nulls(m, pa.int64())
+                yield pa.RecordBatch.from_arrays([whole.column(1).slice(a, m).combine_chunks(), pa.array(shard[a:b]), _binary(found, ends), nothing, nothing], ["part", "shard", "data", "total", "vocabulary"])
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([int(shard[a])], pa.int32()), pa.nulls(1, pa.binary()), pa.array([total]), pa.array([vocabulary])], ["part", "shard", "data", "total", "vocabulary"])
+
+    return sent(texts, number).mapInArrow(work, _LEVELS)
+
+
+def scored(docs: DataFrame, number: int | None = None) -> DataFrame:
+    """doc_id, words, log2_prob, perplexity of each document, by the model of all of them; number: of shards."""
+    shared_folder(docs.sparkSession)
+    texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"))
+    number = number or shards(texts)
+    found = levels(texts, number).checkpoint()
+    sums = found.agg(F.sum("total"), F.sum("vocabulary")).first()
+    scale = Scale(sums[0] or 0, sums[1] or 0)
+
+    def carry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for own, key, _ in _parts(batches):
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, own.schema) as out:
                 out.write_batch(own)
@@ -256,30 +286,27 @@ def _probed(texts: DataFrame, made: DataFrame, scale: Scale, number: int, tasks:
             cuts = runs_of(whole.column(0).to_numpy())
             shard, data = whole.column(1).to_numpy(), whole.column(2)
             for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-                start = a + int(np.searchsorted(shard[a:b], 0))
-                # parts of equal content have sent the same levels
-                once = np.unique(shard[start:b], return_index=True)[1] + start
-                level = np.concatenate([np.zeros(0, np.int8), *(np.frombuffer(data[k].as_py(), np.int8) for k in once.tolist())])
-                for k in range(a, start):
-                    for read in pa.ipc.open_stream(data[k].as_py()):
-                        yield _scored_part(read, level, scale)
-
-    asked = arrow_map(texts, ask, "shard int, part long, kind int, data binary")
-    bits = made.select("shard", F.lit(0).cast("long").alias("part"), F.lit(0).alias("kind"), F.col("bits").alias("data"))
-    found = bits.unionByName(asked).repartition(tasks, "shard").sortWithinPartitions("shard", "kind").mapInArrow(probe, "part long, shard int, data binary")
-    carried = arrow_map(texts, carry, "part long, shard int, data binary")
-    return carried.unionByName(found).repartition(tasks, "part").sortWithinPartitions("part", "shard").mapInArrow(score, SCHEMA)
-
-
-def _scored_part(rows: pa.RecordBatch, level: np.ndarray, scale: Scale) -> pa.RecordBatch:
-    """Scores of a part's rows, from the levels of its distinct n-grams."""
+                if shard[a] >= 0 or b > a + 1 and shard[a + 1] < 0:
+                    raise ValueError("the texts were read in another way the second time")
+                level = _flat(data.slice(a + 1, b - a - 1))[0].view(np.int8) if b > a + 1 else np.zeros(0, np.int8)
+                for read in pa.ipc.open_stream(data[a].as_py()):
+                    yield _scored_part(read, level, scale, number)
+
+    carried = texts.mapInArrow(carry, "part long, shard int, data binary")
+    rows = carried.unionByName(found.filter("part is not null").select("part", "shard", "data"))
+    return rows.repartition(min(number, TASKS), "part").sortWithinPartitions("part", "shard").mapInArrow(score, SCHEMA)
+
+
+def _scored_part(rows: pa.RecordBatch, level: np.ndarray, scale: Scale, number: int) -> pa.RecordBatch:
+    """Scores of a part's rows, from the levels of its distinct n-grams in order of their shards."""
     one, two, has, first = batch_grams(rows.column(1))
-    gram, back = np.unique(np.concatenate([one, two[has]]), return_inverse=True)
-    if len(gram) != len(level):
+    singles, pairs, order, _, _ = distinct(one, two[has], number)
+    if len(order) != len(level):
         raise ValueError("a part's n-grams and levels differ: its texts came in another order")
-    found = level[back].astype(np.int64)
-    single, double = found[: len(one)], np.zeros(len(one), np.int64)
-    double[has] = found[len(one) :]
+    found = np.zeros(len(order), np.int64)
+    found[order] = level
+    single, double = found[np.searchsorted(singles, one)], np.zeros(len(one), np.int64)
+    double[has] = found[len(singles) + np.searchsorted(pairs, two[has])]
     before = np.concatenate([single[:1], single[:-1]])
     total = np.concatenate([[0.0], np.cumsum(scale.log2(single, double, before, has))])
     return _rows(rows.column(0), np.diff(first), total[first[1:]] - total[first[:-1]])
@@ -291,32 +318,6 @@ def _rows(ids: pa.Array, n: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([ids, pa.array(n.astype(np.int32)), pa.array(np.round(sums, 6)), pa.array(np.round(perplexity, 6), from_pandas=True)], ["doc_id", "words", "log2_prob", "perplexity"])
 
 
-def _joined(texts: DataFrame, levels: DataFrame, scale: Scale) -> DataFrame:
-    """Scores without the filter: exact levels are joined to the words."""
-    keyed = texts.withColumn("key", F.xxhash64("doc_id", "text"))
-
-    def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        one, two, has, first = batch_grams(batch.column(1))
-        row = np.repeat(np.arange(len(first) - 1), np.diff(first))
-        before = np.concatenate([one[:1], one[:-1]])
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(before.view(np.int64)), pa.array(has)], ["key", "one", "two", "before", "has"])
-
-    rows = arrow_map(keyed.dropDuplicates(["key"]).select("key", "text"), work, "key long, one long, two long, before long, has boolean")
-    for name in ("one", "two", "before"):
-        rows = rows.join(levels.select(F.col("gram").alias(name), F.col("level").alias(f"l_{name}")), name, "left").fillna(0, [f"l_{name}"])
-
-    @F.pandas_udf("double")
-    def log2(one, two, before, has):
-        import pandas as pd
-
-        return pd.Series(scale.log2(one.to_numpy(), two.to_numpy(), before.to_numpy(), has.to_numpy(bool)))
-
-    sums = rows.groupBy("key").agg(F.count("*").cast("int").alias("words"), F.sum(log2("l_one", "l_two", "l_before", "has")).alias("total"))
-    found = keyed.select("key", "doc_id").join(sums, "key", "left")
-    perplexity = F.when(F.col("words") > 0, F.round(F.pow(F.lit(2.0), -F.col("total") / F.col("words")), 6))
-    return found.select("doc_id", F.coalesce("words", F.lit(0)).alias("words"), F.round(F.coalesce("total", F.lit(0.0)), 6).alias("log2_prob"), perplexity.alias("perplexity"))
-
-
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The scores of all documents."""
     return scored(spark.read.parquet(f"{sf_dir}/documents.parquet"))
