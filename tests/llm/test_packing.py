@@ -70,10 +70,34 @@ def test_documents(frame, odd):
     assert len(bins) == len(by_force(list(want.elements()), 100))
 
 
-def test_shares_and_lengths(frame, spark):
-    docs = frame([(k, "z" * 10) for k in range(500)])
-    got = p.pack(docs, capacity=25, share=50).collect()
+def test_order_and_lengths(frame, spark):
+    """Ties go by doc_id and piece however many rows and sizes there are; equal rows fill a place each."""
+    docs = frame([(k % 400, "z" * 10) for k in range(500)])
+    got = p.pack(docs, capacity=25).collect()
     assert len({(r.bin_id, r.place) for r in got}) == 500 and max(Counter(r.bin_id for r in got).values()) == 2
+    order = [r.doc_id for r in sorted(got, key=lambda r: (r.bin_id, r.place))]
+    assert order == sorted(k % 400 for k in range(500))
     assert p.pack(frame([])).count() == 0
     counted = p.pack(docs, capacity=25, tokens=docs["doc_id"] * 0 + 5)
     assert counted.groupBy("bin_id").count().filter("count <> 5").count() == 0
+
+
+def test_many_sizes(spark):
+    """Thousands of sizes, each of them frequent, over many partitions and Arrow batches."""
+    docs = spark.range(60_000).selectExpr("cast(id as bigint) as doc_id", "cast(null as string) as text")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "777")
+    try:
+        got = p.pack(docs, capacity=8192, tokens=docs["doc_id"] % 3000 + 1).toPandas()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert len(got) == 60_000 and not got.duplicated(["bin_id", "place"]).any()
+    assert got.groupby("bin_id").tokens.sum().max() <= 8192
+    assert got.bin_id.nunique() == len(by_force_count(Counter(got.tokens.tolist()), 8192))
+    whole = got.sort_values(["tokens", "doc_id"])
+    assert (whole.groupby("tokens").bin_id.apply(lambda b: b.nunique()) >= 1).all()
+
+
+def by_force_count(histogram, capacity):
+    """The bins of ``arrange``, which the tests above hold against piece-by-piece packing."""
+    return placed(p.arrange(histogram, capacity))

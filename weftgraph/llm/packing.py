@@ -6,11 +6,13 @@ pieces follow from the largest down, each into the fullest bin that has room, or
 
 The packing depends on the sizes alone. Their histogram has at most CAPACITY entries, whatever the corpus, so the
 driver packs sizes, in runs of equal bins, exactly as if piece by piece; documents then find their place by their rank
-among the pieces of their size. No text is shuffled. Ranks are counted in shares of at most SHARE pieces, so that a
-frequent size (such as full pieces of long documents) is no bottleneck.
+among the pieces of their size. No text is shuffled. The pieces are range-partitioned by size, doc_id and piece, so a
+frequent size (such as full pieces of long documents) is spread over as many tasks as it takes; a rank is the place in
+the partition and the number of pieces of the size in the partitions before, of which the driver has a line each.
 
 A token is a character of the text unless ``tokens`` gives each row's count. Rows that are NULL or empty have no token
-and no place. Repeated documents are packed each; ties in size go by doc_id (NULL first) and piece. Extra columns are
+and no place; a very long text is many pieces. Repeated documents are packed each; ties in size go by doc_id (NULL
+first) and piece, and rows that are equal in all of these are interchangeable. Extra columns, whatever their names, are
 ignored. An empty table gives no rows.
 """
 
@@ -22,15 +24,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm.kernel import arrow_map
+from weftgraph.llm.kernel import runs_of
 from weftgraph.session import shared_folder
 
 CAPACITY = 8192
-#: Pieces of one size that one task ranks, about.
-SHARE = 1_000_000
 SCHEMA = "bin_id long, place int, doc_id long, piece int, start long, tokens int"
 
 
@@ -113,44 +113,45 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, tokens: Column | None = No
     return cut.select("doc_id", "piece", start.alias("start"), F.least(F.col("size") - start, F.lit(capacity)).cast("int").alias("tokens"))
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, tokens: Column | None = None, share: int = SHARE) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = CAPACITY, tokens: Column | None = None) -> DataFrame:
     """bin_id, place, doc_id, piece, start, tokens: where each piece goes; start counts tokens of the document."""
     spark = docs.sparkSession
     shared_folder(spark)
-    cut = pieces(docs, capacity, tokens).checkpoint()
-    histogram = {r.tokens: r["count"] for r in cut.groupBy("tokens").count().collect()}
+    # the random number spreads rows that are equal otherwise
+    cut = pieces(docs, capacity, tokens).withColumn("tie", F.rand(7)).repartitionByRange("tokens", "doc_id", "piece", "tie")
+    ordered = cut.drop("tie").sortWithinPartitions("tokens", "doc_id", "piece").withColumn("part", F.spark_partition_id()).checkpoint()
+    counted = sorted((r.tokens, r.part, r["count"]) for r in ordered.groupBy("part", "tokens").count().collect())
+    histogram: dict[int, int] = defaultdict(int)
+    begin = np.zeros((len(counted), 2), np.int64)
+    for k, (size, part, n) in enumerate(counted):
+        begin[k] = part << 32 | size, histogram[size]
+        histogram[size] += n
+    begin = begin[np.argsort(begin[:, 0])]
     runs = np.array(arrange(histogram, capacity), np.int64).reshape(-1, 6)
     runs = runs[np.lexsort((runs[:, 1], runs[:, 0]))]
-
-    shares = {s: -(-n // share) for s, n in histogram.items()}
-    often = {s: n for s, n in shares.items() if n > 1}
-    number = F.lit(1)
-    for s, n in often.items():
-        number = F.when(F.col("tokens") == s, n).otherwise(number)
-    cut = cut.withColumn("share", F.pmod(F.xxhash64("doc_id", "piece"), number).cast("int"))
-    first: dict[tuple[int, int], int] = {}
-    if often:
-        counted = cut.filter(F.col("tokens").isin(list(often))).groupBy("tokens", "share").count().collect()
-        found = {(r.tokens, r.share): r["count"] for r in counted}
-        for s, n in often.items():
-            for k in range(1, n):
-                first[s, k] = first.get((s, k - 1), 0) + found.get((s, k - 1), 0)
-    ranked = cut.withColumn("rank", F.row_number().over(Window.partitionBy("tokens", "share").orderBy("doc_id", "piece")))
-    shared = spark.sparkContext.broadcast((runs, first))
-
-    def place(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        runs, first = shared.value
-        size, part, rank = (batch.column(k).to_numpy().astype(np.int64) for k in (3, 4, 5))
-        rank = rank - 1
-        for k in np.flatnonzero(part).tolist():
-            rank[k] += first[int(size[k]), int(part[k])]
-        wide = 1 << 44
-        run = np.searchsorted(runs[:, 0] * wide + runs[:, 1], size * wide + rank, "right") - 1
-        beyond = rank - runs[run, 1]
-        bins, places = runs[run, 3] + beyond // runs[run, 4], runs[run, 5] + beyond % runs[run, 4]
-        yield pa.RecordBatch.from_arrays([pa.array(bins), pa.array(places.astype(np.int32)), *(batch.column(k) for k in range(4))], ["bin_id", "place", "doc_id", "piece", "start", "tokens"])
-
-    return arrow_map(ranked.select("doc_id", "piece", "start", "tokens", "share", "rank"), place, SCHEMA)
+    shared = spark.sparkContext.broadcast((runs, begin))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        runs, begin = shared.value
+        last, held = -1, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            size, part = (batch.column(k).to_numpy().astype(np.int64) for k in (3, 4))
+            key = part << 32 | size
+            cuts = runs_of(key)
+            rank = np.arange(len(key)) - np.repeat(cuts[:-1], np.diff(cuts))
+            if key[0] == last:  # the size goes on from the batch before
+                rank[: cuts[1]] += held
+            last, held = key[-1], rank[-1] + 1
+            rank += begin[np.searchsorted(begin[:, 0], key), 1]
+            wide = 1 << 44
+            run = np.searchsorted(runs[:, 0] * wide + runs[:, 1], size * wide + rank, "right") - 1
+            beyond = rank - runs[run, 1]
+            bins, places = runs[run, 3] + beyond // runs[run, 4], runs[run, 5] + beyond % runs[run, 4]
+            yield pa.RecordBatch.from_arrays([pa.array(bins), pa.array(places.astype(np.int32)), *(batch.column(k) for k in range(4))], ["bin_id", "place", "doc_id", "piece", "start", "tokens"])
+
+    return ordered.mapInArrow(place, SCHEMA)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
