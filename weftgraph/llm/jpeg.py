@@ -6,14 +6,17 @@ inverse-transforms all blocks at once in numpy, repeats subsampled chroma to ful
 pictures have three equal channels; an Adobe marker with transform 0 means RGB. ``encode`` writes progressive files.
 
 A column of files becomes width, height, scans, pixels (rows of RGB bytes, height * width * 3) and error. A NULL, empty,
-damaged or unsupported file (arithmetic coding, 12 bits, four components), and one of more than MAX_PIXELS, has NULL
-pixels and says so in error. Each row is decoded by itself, so repeated rows and NULL ids are no matter; other columns
-are carried, and new names get a leading underscore where they clash.
+damaged or unsupported file (arithmetic coding, 12 bits, four components) has NULL pixels and says so in error; so has
+one of more than MAX_PIXELS, whose tensor no column can hold (2 GB). A file can't claim more blocks than its bytes can
+code, so memory follows the file: some 8 bytes a pixel, inverse-transformed in strips. Tensors leave the worker in
+batches of about BATCH_MB. Each row is decoded by itself, so repeated rows, ties and NULL ids are no matter; other
+columns are carried, and new names get a leading underscore where they clash. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import struct
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -24,7 +27,10 @@ from pyspark.sql.types import BinaryType, IntegerType, StringType, StructField,
 
 from weftgraph.llm.kernel import arrow_map, unused
 
-MAX_PIXELS = 1 << 28
+#: Pixels whose three bytes each fill a cell of a table.
+MAX_PIXELS = ((1 << 31) - 64) // 3
+#: MB of tensors that a worker holds before it hands them on; rows of blocks that are transformed at once.
+BATCH_MB, STRIP = 16, 32
 ZIGZAG = np.array([i * 8 + s - i if s % 2 else (s - i) * 8 + i for s in range(15) for i in range(max(0, s - 7), min(s, 7) + 1)])
 _STEPS = np.arange(8)
 #: Row k holds the basis function of frequency k.
@@ -47,7 +53,7 @@ class Component:
     columns: int = 0
     own_rows: int = 0
     own_columns: int = 0
-    coefficients: list[int] = field(default_factory=list)
+    coefficients: array = field(default_factory=lambda: array("h"))
 
 
 class _Bits:
@@ -91,6 +97,8 @@ class _Bits:
         raise JpegError("no such Huffman code")
 
     def signed(self, n: int) -> int:
+        if n > 15:
+            raise JpegError("a coefficient is too long")
         value = self.take(n) if n else 0
         return value if not n or value >> n - 1 else value - (1 << n) + 1
 
@@ -116,14 +124,14 @@ def _huffman(counts: bytes, symbols: bytes) -> tuple[int, list, dict]:
     return width, fast, slow
 
 
-def _dc(bits: _Bits, out: list[int], at: int, table, before: int, low: int) -> int:
+def _dc(bits: _Bits, out: array, at: int, table, before: int, low: int) -> int:
     """First pass over a DC coefficient; returns the new prediction."""
     before += bits.signed(bits.symbol(table))
     out[at] = before << low
     return before
 
 
-def _ac_first(bits: _Bits, out: list[int], at: int, table, first: int, last: int, low: int, run: int) -> int:
+def _ac_first(bits: _Bits, out: array, at: int, table, first: int, last: int, low: int, run: int) -> int:
     """First pass over a band; returns how many blocks to come end at once."""
     if run:
         return run - 1
@@ -144,7 +152,7 @@ def _ac_first(bits: _Bits, out: list[int], at: int, table, first: int, last: int
     return 0
 
 
-def _ac_more(bits: _Bits, out: list[int], at: int, table, first: int, last: int, low: int, run: int) -> int:
+def _ac_more(bits: _Bits, out: array, at: int, table, first: int, last: int, low: int, run: int) -> int:
     """A further bit of each coefficient of a band; returns how many blocks to come have no new ones."""
     one, k = 1 << low, first
     if not run:
@@ -185,6 +193,7 @@ class Picture:
 
     def __init__(self, data: bytes):
         self.width = self.height = self.scans = self.interval = 0
+        self.size = len(data)
         self.progressive, self.transform = False, None
         self.components: list[Component] = []
         self.quantisers: dict[int, np.ndarray] = {}
@@ -219,7 +228,7 @@ class Picture:
                     (self.interval,) = struct.unpack(">H", body[:2])
                 elif marker == 0xEE and body[:5] == b"Adobe" and len(body) >= 12:
                     self.transform = body[11]
-        except (IndexError, struct.error, KeyError) as e:
+        except (IndexError, struct.error, KeyError, OverflowError) as e:
             raise JpegError("the file is damaged or ends too soon") from e
         if not self.components or not self.scans:
             raise JpegError("the file has no picture")
@@ -228,16 +237,18 @@ class Picture:
         at = 0
         while at < len(body):
             wide, name = body[at] >> 4, body[at] & 15
-            values = np.frombuffer(body[at + 1 : at + 1 + 64 * (1 + wide)], ">u2" if wide else np.uint8)
-            if len(values) < 64:
+            raw = body[at + 1 : at + 1 + 64 * (1 + wide)]
+            if wide > 1 or len(raw) < 64 * (1 + wide):
                 raise JpegError("bad quantisation table")
-            self.quantisers[name] = values.astype(np.int64)
+            self.quantisers[name] = np.frombuffer(raw, ">u2" if wide else np.uint8).astype(np.int64)
             at += 1 + 64 * (1 + wide)
 
     def _tables(self, body: bytes) -> None:
         at = 0
         while at < len(body):
             counts = body[at + 1 : at + 17]
+            if len(counts) < 16:
+                raise JpegError("bad Huffman table")
             n = sum(counts)
             self.tables[body[at] >> 4, body[at] & 15] = _huffman(counts, body[at + 17 : at + 17 + n])
             at += 17 + n
@@ -257,7 +268,11 @@ class Picture:
             units = -(-self.width // (8 * self.h)), -(-self.height // (8 * self.v))
             c.columns, c.rows = units[0] * c.h, units[1] * c.v
             c.own_columns, c.own_rows = -(-(-(-self.width * c.h // self.h)) // 8), -(-(-(-self.height * c.v // self.v)) // 8)
-            c.coefficients = [0] * (c.columns * c.rows * 64)
+        # each takes a bit at least
+        if sum(c.own_columns * c.own_rows for c in self.components) > 8 * self.size:
+            raise JpegError("the file is too short for its size")
+        for c in self.components:
+            c.coefficients = array("h", bytes(c.columns * c.rows * 128))
 
     def _scan(self, body: bytes, data: bytes, at: int) -> int:
         n = body[0]
@@ -266,7 +281,7 @@ class Picture:
         first, last, high, low = body[1 + 2 * n], body[2 + 2 * n], body[3 + 2 * n] >> 4, body[3 + 2 * n] & 15
         if not self.progressive:
             first, last, high, low = 0, 63, 0, 0
-        if not own or first > last or last > 63 or low > 13 or (self.progressive and first and n > 1):
+        if not own or first > last or last > 63 or low > 13 or (self.progressive and (first and n > 1 or not first and last or high and high != low + 1)):
             raise JpegError("bad scan")
         parts, start, end = [], at, at
         while True:
@@ -282,24 +297,27 @@ class Picture:
             else:
                 break
         parts.append(data[start:end])
+        # (place in own, first place and further places a row and a column of units, columns of blocks) of each block of a unit
+        c = own[0][0]
         if n == 1:
-            c = own[0][0]
-            units = [[(0, (y * c.columns + x) * 64)] for y in range(c.own_rows) for x in range(c.own_columns)]
+            wide, tall, blocks = c.own_columns, c.own_rows, [(0, 0, c.columns, 1)]
         else:
-            wide, tall = self.components[0].columns // self.components[0].h, self.components[0].rows // self.components[0].v
-            units = [[(k, ((my * c.v + y) * c.columns + mx * c.h + x) * 64) for k, (c, _, _) in enumerate(own) for y in range(c.v) for x in range(c.h)] for my in range(tall) for mx in range(wide)]
-        step = self.interval or len(units)
-        for part, low_unit in zip(parts, range(0, len(units), step)):
-            self._interval(_Bits(part.replace(b"\xff\0", b"\xff")), own, units[low_unit : low_unit + step], first, last, high, low)
-        if -(-len(units) // step) > len(parts):
+            wide, tall = c.columns // c.h, c.rows // c.v
+            blocks = [(k, y * c.columns + x, c.v * c.columns, c.h) for k, (c, _, _) in enumerate(own) for y in range(c.v) for x in range(c.h)]
+        step = self.interval or wide * tall
+        for part, unit in zip(parts, range(0, wide * tall, step)):
+            self._interval(_Bits(part.replace(b"\xff\0", b"\xff")), own, blocks, wide, range(unit, min(unit + step, wide * tall)), first, last, high, low)
+        if -(-wide * tall // step) > len(parts):
             raise JpegError("restart intervals are missing")
         self.scans += 1
         return end
 
-    def _interval(self, bits: _Bits, own: list, units: list, first: int, last: int, high: int, low: int) -> None:
+    def _interval(self, bits: _Bits, own: list, blocks: list, wide: int, units: range, first: int, last: int, high: int, low: int) -> None:
         before, run = [0] * len(own), 0
         for unit in units:
-            for k, at in unit:
+            row, column = divmod(unit, wide)
+            for k, start, down, right in blocks:
+                at = (start + row * down + column * right) * 64
                 c, dc, ac = own[k]
                 out = c.coefficients
                 if not self.progressive:
@@ -316,29 +334,39 @@ class Picture:
         """height x width x 3 bytes."""
         planes = []
         for c in self.components:
-            blocks = np.array(c.coefficients, np.int64).reshape(-1, 64) * self.quantisers[c.table]
-            natural = np.zeros_like(blocks)
-            natural[:, ZIGZAG] = blocks
-            samples = BASIS.T @ natural.reshape(-1, 8, 8).astype(float) @ BASIS + 128
-            plane = np.clip(np.rint(samples), 0, 255).reshape(c.rows, c.columns, 8, 8).swapaxes(1, 2).reshape(c.rows * 8, c.columns * 8)
-            y = np.arange(self.height) * c.v // self.v
-            x = np.arange(self.width) * c.h // self.h
-            planes.append(plane[y[:, None], x[None, :]])
-        if len(planes) == 1:
-            planes *= 3
-        elif self.transform != 0:
-            y, b, r = planes[0], planes[1] - 128, planes[2] - 128
-            planes = [y + 1.402 * r, y - 0.344136286 * b - 0.714136286 * r, y + 1.772 * b]
-        return np.clip(np.rint(np.stack(planes, 2)), 0, 255).astype(np.uint8)
+            blocks = np.frombuffer(c.coefficients, np.int16).reshape(c.rows, c.columns, 64)
+            plane = np.empty((c.rows * 8, c.columns * 8), np.uint8)
+            for low in range(0, c.rows, STRIP):
+                own = blocks[low : low + STRIP] * self.quantisers[c.table]
+                natural = np.zeros(own.shape)
+                natural[..., ZIGZAG] = own
+                samples = BASIS.T @ natural.reshape(*own.shape[:2], 8, 8) @ BASIS + 128
+                plane[low * 8 : (low + len(own)) * 8] = np.clip(np.rint(samples), 0, 255).swapaxes(1, 2).reshape(-1, c.columns * 8)
+            planes.append((plane, np.arange(self.width) * c.h // self.h, c.v))
+        out = np.empty((self.height, self.width, 3), np.uint8)
+        for low in range(0, self.height, 8 * STRIP):
+            y = np.arange(low, min(low + 8 * STRIP, self.height))
+            own = [plane[(y * v // self.v)[:, None], x[None, :]] for plane, x, v in planes]
+            if len(own) == 1:
+                own *= 3
+            elif self.transform != 0:
+                grey, b, r = own[0].astype(float), own[1] - 128.0, own[2] - 128.0
+                own = [np.clip(np.rint(x), 0, 255) for x in (grey + 1.402 * r, grey - 0.344136286 * b - 0.714136286 * r, grey + 1.772 * b)]
+            out[low : low + len(y)] = np.stack(own, 2)
+        return out
 
 
 def decode(data: bytes) -> tuple[np.ndarray, int]:
     """(height x width x 3 bytes, number of scans)."""
-    picture = Picture(data)
     try:
+        picture = Picture(data)
         return picture.pixels(), picture.scans
     except KeyError as e:
         raise JpegError("a quantisation table is missing") from e
+    except JpegError:
+        raise
+    except (ValueError, ArithmeticError, LookupError, MemoryError) as e:
+        raise JpegError(f"the file can't be decoded: {e}") from e
 
 
 class _Writer:
@@ -521,29 +549,39 @@ def decode_column(media: DataFrame, column: str) -> DataFrame:
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
-        for data in batch.column(at):
+        held = start = 0
+
+        def done(end: int) -> pa.RecordBatch:
+            kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.string())
+            return pa.RecordBatch.from_arrays([*(batch.column(k).slice(start, end - start) for k in carried), *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds))], schema.names)
+
+        for n, data in enumerate(batch.column(at)):
             raw = data.as_py()
             try:
                 if not raw:
                     raise JpegError("no file")
                 pixels, scans = decode(raw)
                 rows.append((pixels.shape[1], pixels.shape[0], scans, pixels.tobytes(), None))
+                held += pixels.size
             except JpegError as e:
                 rows.append((None, None, None, None, str(e)))
-        kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.string())
-        yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in carried), *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds))], schema.names)
+            if held > BATCH_MB << 20:
+                yield done(n + 1)
+                rows, held, start = [], 0, n + 1
+        if rows:
+            yield done(batch.num_rows)
 
     return arrow_map(media, work, schema)
 
 
 def picture_of(vector: list[float] | None) -> np.ndarray | None:
-    """A vector as a square picture, two by two pixels for each number; None for NULL and empty ones."""
+    """A vector as a square picture, three by three pixels for each number; None for NULL and empty ones."""
     if not vector:
         return None
     v = np.nan_to_num(np.array([0.0 if x is None else x for x in vector], float), posinf=0, neginf=0)
     side = int(np.ceil(np.sqrt(len(v))))
     v = np.concatenate([v, np.zeros(side * side - len(v))]) / (np.abs(v).max() or 1)
-    grid = np.kron(v.reshape(side, side), np.ones((2, 2)))
+    grid = np.kron(v.reshape(side, side), np.ones((3, 3)))
     return np.clip(np.rint(np.stack([128 + 127 * grid, 128 + 127 * grid[::-1], 128 - 127 * grid.T], 2)), 0, 255).astype(np.uint8)
 
 
@@ -558,5 +596,5 @@ def pictures(embeddings: DataFrame) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The tensor of every picture; the tables hold no media, so the embeddings are drawn."""
+    """The tensor of every picture; the tables hold no media, so the embeddings are drawn (64 numbers: 24 x 24 pixels)."""
     return decode_column(pictures(spark.read.parquet(f"{sf_dir}/embeddings.parquet")), "image")
