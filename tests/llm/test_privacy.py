@@ -1,6 +1,6 @@
 import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 
@@ -56,17 +56,17 @@ def test_hint_passes_every_entity(frame, text):
 
 def by_force(texts):
     """word: bits, from sets of contexts and of documents."""
-    near, documents = defaultdict(set), defaultdict(int)
+    near, documents = defaultdict(Counter), defaultdict(int)
     for t in texts:
         for w in {w.lower() for w in re.findall(r"[^\W_]+", t or "")}:
             documents[w] += 1
-        for entity, words in p.around(t or ""):
-            for w in words:
-                near[entity, w.lower()].add(tuple(sorted(x.lower() for x in words)))
+        for entity, words in {e: w for e, w in p.around(t or "")}.items():
+            for w in {w.lower() for w in words}:
+                near[entity, w][tuple(sorted(x.lower() for x in words))] += 1
     found = {}
     for (_, w), contexts in near.items():
         if len(contexts) >= p.LEAST:
-            bits = -math.log2(min(1, len(contexts) / max(documents[w], len(contexts))))
+            bits = -math.log2(sum(contexts.values()) / documents[w])
             found[w] = min(bits, found.get(w, 99))
     return {w: b for w, b in found.items() if b <= p.GENERALISE}
 
@@ -122,3 +122,23 @@ def test_real_rows(spark):
     for r in p.sanitised(docs).collect():
         assert (r.text == before[r.doc_id]) == (r.entities + r.disclosing == 0)
         assert not re.search(r"[\w.]+@[\w.]+\.com|\d{13,}|\d+\.\d+\.\d+\.\d+", r.text)
+
+
+def test_copies_neither_hide_nor_disclose(frame):
+    rows = [(k, f"Vexmora {prose(k, 80)} jo@ex1.org") for k in range(4)]
+    again = [(100 + k, rows[0][1]) for k in range(50)]  # a page repeated hides nothing
+    again += [(200 + k, f"Solitary {prose(77)} al@ex2.org") for k in range(50)]  # nor does it disclose what is on it alone
+    for r in p.sanitised(frame(rows + again)).collect():
+        assert ("Vexmora" not in r.text) and ("Solitary" in r.text) == (r.doc_id >= 200)
+
+
+SECRETS = ["ghp_" + "a" * 36, "sk-" + "b" * 24, "xoxb-" + "c" * 12, "AKIA" + "D" * 16, "eyJhbG.eyJzdWI.abc", "password = 'hunter'", "fe:ab:cd:ef:aa:bb:cc:dd", "jo@ex.org", "-----BEGIN PRIVATE KEY-----", "api_key: x1", "\u0661\u0662\u0663-\u0664\u0665\u0666-\u0667\u0668\u0669\u0660"]
+
+
+@pytest.mark.parametrize("most", [p.BROADCAST_WORDS, 0])
+def test_every_class_alone(frame, monkeypatch, most):
+    """Each kind of identifier goes, also where a text has no other sign of one, whichever way the words take."""
+    monkeypatch.setattr(p, "BROADCAST_WORDS", most)
+    got = {r.doc_id: r for r in p.sanitised(frame([(k, f"see {x} ok") for k, x in enumerate(SECRETS)])).collect()}
+    for k, x in enumerate(SECRETS):
+        assert x not in got[k].text and "[" in got[k].text and got[k].entities == 1, x

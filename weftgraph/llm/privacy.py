@@ -3,16 +3,18 @@
 Protected entities are identifiers with a form of their own: e-mail addresses, telephone, card, account and social
 security numbers, network addresses, keys, tokens and passwords. Each is replaced by its class. What stands around an
 entity may reveal it too: for each word t of at least LEAST different contexts of one entity e (the whole documents that
-hold it, without their identifiers; documents of the same words are one context) the corpus tells how many contexts hold both and in how many
-documents t occurs at all. Of the IC(e) = -log2 p(e) bits that hide the entity the word discloses
-PMI(e; t) = log2 p(e, t) / (p(e) p(t)), which leaves IC - PMI = -log2 p(e | t) bits. A word that leaves at most
-REMOVE bits for some entity is removed wherever it occurs, one that leaves at most GENERALISE bits becomes the class of
-words that it belongs to. Words are compared by their letters and digits, in lower case; marks stay.
-
-As copies count in p(t) but once in p(e, t), p(e | t) is at most 1. Texts that hold neither stay as
-they are, byte by byte; NULL and empty texts too. Every row is judged by itself once the words are known, so repeated
-rows and NULL ids are no matter. Extra columns are ignored, or carried by ``sanitise``, which keeps n_chars (if there
-is one) in step. An empty table gives no rows.
+hold it, without their identifiers; documents of the same words are one context) the corpus tells how many documents
+hold both and how many hold t at all, copies counting in either. Of the IC(e) = -log2 p(e) bits that hide the entity
+the word discloses PMI(e; t) = log2 p(e, t) / (p(e) p(t)), which leaves IC - PMI = -log2 p(e | t) bits. A word that
+leaves at most REMOVE bits for some entity is removed wherever it occurs, one that leaves at most GENERALISE bits
+becomes the class of words that it belongs to. Words are compared by their letters and digits, in lower case; marks
+stay. Copies of a page, however many, are one context: they alone disclose nothing, and hide nothing.
+
+Texts that hold neither stay as they are, byte by byte; NULL and empty texts too. A very long text is looked at whole,
+as one context. Every row is judged by itself once the words are known, so repeated rows and NULL ids are no matter;
+words that disclose equally much tie and are treated alike, and one that discloses several entities goes by the one it
+discloses most. Extra columns are ignored, or carried by ``sanitise`` whatever their names, which keeps n_chars (if
+there is one) in step. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -106,6 +108,13 @@ def _named(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(entity.view(np.int64)), pa.array(np.array(places, np.int64))], ["entity", "context"])
 
 
+def _marks(rows: DataFrame, name: str) -> np.ndarray:
+    """The places of a sieve that hashes in a column have; SIEVE of them at most."""
+    sieve = np.zeros(SIEVE, bool)
+    sieve[rows.select(F.pmod(name, F.lit(SIEVE)).cast("int").alias("mark")).distinct().toArrow().column(0).to_numpy()] = True
+    return sieve
+
+
 def disclosing(docs: DataFrame, least: int = LEAST, generalise: float = GENERALISE) -> DataFrame:
     """word, bits: hash of each word that discloses an entity, and the bits it leaves; in the shared folder.
 
@@ -115,14 +124,12 @@ def disclosing(docs: DataFrame, least: int = LEAST, generalise: float = GENERALI
     spark = docs.sparkSession
     shared_folder(spark)
     texts = docs.select(F.col("text").cast("string").alias("text"))
-    named = arrow_map(texts, _named, "entity long, context long").distinct().checkpoint()
+    named = arrow_map(texts, _named, "entity long, context long").groupBy("entity", "context").agg(F.count("*").alias("documents")).checkpoint()
     often = named.groupBy("entity").agg(F.count("*").alias("contexts")).filter(F.col("contexts") >= least).select("entity")
     kept = named.join(often, "entity").checkpoint()
-    marks = [r.mark for r in kept.select(F.pmod("context", F.lit(SIEVE)).cast("int").alias("mark")).distinct().collect()]
-    if not marks:
+    held_contexts = _marks(kept, "context")
+    if not held_contexts.any():
         return spark.createDataFrame([], "word long, bits double")
-    held_contexts = np.zeros(SIEVE, bool)
-    held_contexts[marks] = True
     shared_contexts = spark.sparkContext.broadcast(np.packbits(held_contexts))
 
     def gather(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -133,13 +140,11 @@ def disclosing(docs: DataFrame, least: int = LEAST, generalise: float = GENERALI
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(word), context, np.int64)), pa.array(word)], ["context", "word"])
 
     inside = arrow_map(texts, gather, "context long, word long").distinct()
-    both = kept.join(inside, "context").groupBy("entity", "word").agg(F.count("*").alias("together")).filter(F.col("together") >= least)
+    both = kept.join(inside, "context").groupBy("entity", "word").agg(F.count("*").alias("contexts"), F.sum("documents").alias("together")).filter(F.col("contexts") >= least)
     both = both.groupBy("word").agg(F.max("together").alias("together")).checkpoint()
-    marks = [r.mark for r in both.select(F.pmod("word", F.lit(SIEVE)).cast("int").alias("mark")).distinct().collect()]
-    if not marks:
+    sieve = _marks(both, "word")
+    if not sieve.any():
         return spark.createDataFrame([], "word long, bits double")
-    sieve = np.zeros(SIEVE, bool)
-    sieve[marks] = True
     shared = spark.sparkContext.broadcast(np.packbits(sieve))
 
     def count(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
