@@ -66,3 +66,11 @@ def test_whole_table(spark):
         if len(own) <= 8:
             assert r.cost == cheapest(tuple(x.role for x in own))
         assert all(x.text in r.text for x in own)
+
+
+def test_rows_without_a_conversation(spark):
+    """Each is one of its own, however many there are."""
+    rows = [(None, k, "user", f"t{k}") for k in range(300)] + [(7, 0, "user", "a"), (7, 1, "assistant", "b")]
+    got = c.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert len(got) == 301 and sum(r.conv_id is None for r in got) == 300
+    assert all((r.inserted, r.turns) == (1, 2) for r in got if r.conv_id is None)

@@ -7,9 +7,11 @@ or an empty turn may be inserted (INSERT). Of equally cheap repairs that with th
 roles wins, then that with the fewest insertions. The repaired sequence is rendered in ChatML; control marks within texts
 are broken up, so that no text can end its own turn.
 
-Turns are ordered by turn (NULL first), then role and text; repeated rows are turns of their own. A NULL text is empty,
-a NULL role is unknown, roles are compared without case and blanks. Rows with a NULL conv_id are one conversation.
-Extra columns are ignored. An empty table gives no rows.
+Turns are ordered by turn (NULL first; ties by role and text); repeated rows are turns of their own. A NULL text is
+empty, a NULL role is unknown, roles are compared without case and blanks. Very long texts are rendered whole. As nothing
+tells which rows without a conv_id belong together, each is a conversation of its own, and isn't shuffled. The rows of a
+conversation meet in one task, since its text is one cell of the result. Extra columns, whatever their names, are
+ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -104,7 +106,9 @@ def format_conversations(turns: DataFrame) -> DataFrame:
     """A row for each conversation: conv_id, cost, merged, relabelled, inserted, turns, text."""
     role = F.lower(F.trim(F.coalesce(turns["role"].cast("string"), F.lit(""))))
     one = F.struct(turns["turn"].cast("long").alias("turn"), role.alias("role"), F.coalesce(turns["text"].cast("string"), F.lit("")).alias("text"))
-    grouped = turns.groupBy(turns["conv_id"].cast("long").alias("conv_id")).agg(F.sort_array(F.collect_list(one)).alias("turns"))
+    rows = turns.select(turns["conv_id"].cast("long").alias("conv_id"), one.alias("one"))
+    grouped = rows.filter("conv_id is not null").groupBy("conv_id").agg(F.sort_array(F.collect_list("one")).alias("turns"))
+    grouped = grouped.unionByName(rows.filter("conv_id is null").select("conv_id", F.array("one").alias("turns")))
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         rows = []
