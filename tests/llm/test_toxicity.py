@@ -7,12 +7,12 @@ from tests.llm.conftest import prose
 from weftgraph.llm import toxicity as t
 
 
-@pytest.mark.parametrize("text", ["You IDIOT!", "1d10t", "і­dіоt", "stup!d man", "tra$h", "$cum", "ｉｄｉｏｔ", "𝐢𝐝𝐢𝐨𝐭", "Imbécile", "kill \n yourself", "!!m0r0n!!", "w0rth1ess", "d15gu5t1ng", "clówn", "piece-of_shit"])
+@pytest.mark.parametrize("text", ["You IDIOT!", "1d10t", "і­dіоt", "stup!d man", "tra$h", "$cum", "ｉｄｉｏｔ", "𝐢𝐝𝐢𝐨𝐭", "Imbécile", "kill \n yourself", "!!m0r0n!!", "w0rth1ess", "d15gu5t1ng", "clówn", "piece-of_shit", "a$$hole", "@$$hole", "a$$h0le!", "idiot$", "b!+ch", "f@gg idiot", "$h!t"])
 def test_found(text):
     assert len(t.Matcher().find(text)) == 1
 
 
-@pytest.mark.parametrize("text", ["the trash can", "idiot-proof", "a class clown", "scumbags?", "idiotically", "Scunthorpe", "100 45 7", "dickens", "", None, "id iot"])
+@pytest.mark.parametrize("text", ["the trash can", "idiot-proof", "a class clown", "scumbags?", "idiotically", "Scunthorpe", "100 45 7", "dickens", "", None, "id iot", "US$ 5", "5$", "a+b@c.org"])
 def test_left_alone(text):
     assert t.Matcher().find(text) == []
 
@@ -67,3 +67,13 @@ def test_labels(spark):
     got = t.query(spark, folder).join(labels.withColumnRenamed("toxic", "label"), "doc_id").collect()
     assert not any(r.toxic for r in got if not r.label)
     assert sum(r.toxic for r in got if r.label) >= 0.6 * sum(r.label for r in got)
+
+
+def test_words_of_any_length(frame, spark):
+    """Two letters or two hundred: a word is learnt, and found, whole."""
+    long = "q" + "zx" * 100
+    rows = [(k, f"{prose(k)} {('vx', long)[k % 8 == 0] if k % 4 == 0 else 'common'} {prose(k + 100, 20)}") for k in range(160)]
+    labels = spark.createDataFrame([(k, 1, int(k % 4 == 0)) for k in range(160)], "doc_id long, quality int, toxic int")
+    learnt = t.learn(frame(rows), labels)
+    assert set(learnt) == {"vx", long}
+    assert t.Matcher(learnt).find(f"see {long}") == [(long, learnt[long])] and not t.Matcher(learnt).find(long[:-1])

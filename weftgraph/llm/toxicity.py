@@ -2,21 +2,20 @@
 
 Texts are folded to lower case without accents, homoglyphs (Cyrillic, Greek, full-width and mathematical letters) and
 digit or sign substitutions are replaced by the Latin letter they stand for, and invisible characters are dropped; the
-lexicon is folded in the same way, where i, l and 1 are one letter. A term counts where it is a whole word
-(longer terms first), unless an exception phrase covers it. The score is the sum of the weights over the square root
-of the number of words; a document is toxic from THRESHOLD on.
+lexicon is folded in the same way, where i, l and 1 are one letter. Runs of signs count as letters beside letters. A
+term counts where it is a whole word (of overlapping terms the longest, of equally long ones the first), unless an
+exception phrase covers it. The score is the sum of the weights over the square root of the number of words; a document
+is toxic from THRESHOLD on. Terms with separators between their letters are not found.
 
-NULL and empty texts have score 0. Every row is judged by itself, so repeated rows and NULL ids are no matter; extra
-columns are ignored, or carried by ``drop_toxic``.
+NULL and empty texts have score 0; a very long text is scored whole. Every row is judged by itself, so repeated rows
+and NULL ids are no matter; extra columns, whatever their names, are ignored, or carried by ``drop_toxic``. An empty
+table gives no rows.
 
 The built-in terms are joined by those that the labels teach: words of toxic documents that stand there in at least
 SUPPORT different contexts (neighbouring words, so that copies of a document count once), at least PURITY of whose
 occurrences in labelled documents are toxic, and for which chance is ruled out (a likelihood ratio test, corrected for
-the number of words tested). Their weight is a quarter of the log odds ratio, at most 1.5. Without labels the built-in
-terms stand alone.
-
- Terms with
-separators between their letters are not found.
+the number of words tested). Their weight is a quarter of the log odds ratio, at most 1.5. Words of any length are
+tested. Without labels the built-in terms stand alone.
 """
 
 from __future__ import annotations
@@ -98,19 +97,19 @@ def _table() -> dict[int, str]:
 
 FOLDED = _table()
 _ASCII = str.maketrans({k: v for k, v in FOLDED.items() if k < 128})
-#: Signs stand for a letter only where letters or digits are on both sides, or behind them for those that begin a word.
-_SIGN = re.compile(r"(?<=\w)[!|+](?=\w)|[@$](?=\w)")
-_SIGNS = {"!": "i", "|": "i", "+": "t", "@": "a", "$": "s"}
+#: Runs of signs stand for letters where letters or digits are on both sides, or behind those that begin a word; $ also at the end of letters.
+_SIGN = re.compile(r"(?<=\w)[!|+@$]+(?=\w)|[@$]+(?=\w)|(?<=[^\W\d_])\$+(?!\w)")
+_SIGNS = str.maketrans("!|+@$", "iitas")
 _GAP = re.compile(r"[\s\-_]{2,}|[^\S ]|[-_]")
 #: Words, for the length of a text, and as the labels teach them.
 MANY = re.compile(r"\S+")
-_TERM = re.compile(r"[^\W_]{3,40}")
+_TERM = re.compile(r"[^\W_]+")
 
 
 def fold(text: str) -> str:
     """The text as it is matched."""
     if any(c in text for c in "!|+@$"):
-        text = _SIGN.sub(lambda m: _SIGNS[m[0]], text)
+        text = _SIGN.sub(lambda m: m[0].translate(_SIGNS), text)
     return _GAP.sub(" ", text.translate(_ASCII if text.isascii() else FOLDED))
 
 
