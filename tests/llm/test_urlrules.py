@@ -56,3 +56,51 @@ def test_sql(spark):
     want = sorted(con.sql(u.SQL).fetchall())
     got = sorted((r.page_id, r.url, r.rules, r.confidence, r.keep) for r in u.query(spark, folder).collect())
     assert got == want
+
+
+def test_projection_keeps_the_rules(spark):
+    """The rules don't depend on how far transactions are projected before FP-growth."""
+    import random
+
+    rng = random.Random(4)
+    rows = []
+    for k in range(120):
+        own = [t for t in "abcdef" if rng.random() < 0.45] or ["a"]
+        low = ("a" in own and "c" in own and rng.random() < 0.9) or ("e" in own and "f" not in own and rng.random() < 0.8)
+        rows.append((own, low))
+    pages = spark.createDataFrame([(k, "http:///" + "/".join(own)) for k, (own, _) in enumerate(rows)], "page_id long, url string")
+    labels = spark.createDataFrame([(k, int(not low), 0) for k, (_, low) in enumerate(rows)], "doc_id long, quality int, toxic int")
+    want = rules_by_force([({f"path:{t}" for t in own} | {"scheme:http"}, low) for own, low in rows], 3, 0.6)
+    for wide in (1, 2, 3, 10):
+        got = {tuple(r.antecedent): (r.hits, r.confidence) for r in u.mine(pages, labels, confidence=0.6, wide=wide).collect()}
+        assert {k: v for k, v in got.items() if len(k) <= 3} == want and want, wide
+
+
+def mined(spark, urls, low):
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    labels = spark.createDataFrame([(k, int(not x), 0) for k, x in enumerate(low)], "doc_id long, quality int, toxic int")
+    return {tuple(r.antecedent): r.confidence for r in u.mine(pages, labels).collect()}
+
+
+WORDS = [f"{a}{b}" for a in "bcdfg" for b in ("ax", "ex", "ix", "ox", "ux", "yx")]
+
+
+def test_thirty_tokens_on_the_same_pages(spark):
+    got = mined(spark, ["http:///" + "/".join(WORDS)] * 4 + ["http:///other"] * 9, [1] * 4 + [0] * 9)
+    assert got == {(f"path:{w}",): 1.0 for w in WORDS}
+
+
+def test_thirty_nested_tokens(spark):
+    """Each token's pages are among those of the one before it."""
+    urls = ["http:///" + "/".join(WORDS[: k // 4 + 1]) for k in range(120)]
+    low = [k % 4 != 3 if k < 100 else 1 for k in range(120)]
+    got = mined(spark, urls, low)
+    share = {w: sum(low[4 * i :]) / len(low[4 * i :]) for i, w in enumerate(WORDS)}
+    assert got == {("scheme:http",): share[WORDS[0]]} | {(f"path:{w}",): c for w, c in share.items()}
+
+
+def test_thirty_tokens_that_also_stand_alone(spark):
+    """Thirty tokens share four pages, but none implies another: only pairs say something new."""
+    urls = ["http:///" + "/".join(WORDS)] * 4 + [f"http:///{w}" for w in WORDS for _ in range(5)]
+    got = mined(spark, urls, [1] * 4 + [0] * 150)
+    assert got == {tuple(sorted((f"path:{a}", f"path:{b}"))): 1.0 for i, a in enumerate(WORDS) for b in WORDS[:i]}

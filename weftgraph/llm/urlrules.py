@@ -7,8 +7,15 @@ itemsets, and an antecedent X becomes a rule if X with ``=low`` has the support
 rule over fewer of its tokens is as confident. Each rule is filed under its rarest token alone, so a URL meets it at
 most once; joins carry no hints, so that the planner broadcasts the rules only if they are small.
 
-NULL and empty URLs have no token, match nothing and are kept. Repeated pages each get their row; ties in rarity go
-to the first token. Extra columns are ignored, or carried by ``drop_matching``. Without labelled pages no rule exists.
+FP-growth lists every frequent set, 2**n for pages that share n tokens, though a set says nothing new if one of its
+tokens stands on every page that has the others, or if the others are sure of ``=low`` already. Transactions of more
+than WIDE tokens are therefore projected first, as FP-growth's own recursion does: a transaction is written once for
+each of its tokens, with the more frequent ones before it, without those that say nothing new beside it; again and
+again, until they are narrow. Which rules are kept doesn't depend on WIDE.
+
+NULL and empty URLs have no token, match nothing and are kept; a very long URL is taken whole. Repeated pages each get
+their row; ties in rarity go to the first token, and rules of the same tokens' number and confidence all stay. Extra
+columns, whatever their names, are ignored, or carried by ``drop_matching``. Without labelled pages no rule exists.
 """
 
 from __future__ import annotations
@@ -26,6 +33,8 @@ from weftgraph.session import shared_folder
 SUPPORT, LEAST = 0.001, 3
 CONFIDENCE = 0.5
 LOW = "=low"
+#: Tokens of a transaction that FP-growth is given, at most.
+WIDE = 10
 RULES = "antecedent array<string>, token string, hits long, confidence double"
 
 
@@ -48,10 +57,51 @@ def tokens(url: Column) -> Column:
 
 
 def transactions(pages: DataFrame, labels: DataFrame) -> DataFrame:
-    """items: tokens of each labelled page, with =low where its quality is 0."""
+    """items, low: tokens of each labelled page, and whether its quality is 0."""
     known = labels.filter("doc_id is not null and quality is not null").groupBy(F.col("doc_id").alias("page_id")).agg(F.min("quality").alias("quality"))
-    rows = pages.select("page_id", tokens(F.col("url")).alias("tokens")).join(known, "page_id")
-    return rows.select(F.when(F.col("quality") == 0, F.array_append("tokens", F.lit(LOW))).otherwise(F.col("tokens")).alias("items"))
+    rows = pages.select("page_id", tokens(F.col("url")).alias("items")).join(known, "page_id")
+    return rows.select("items", (F.col("quality") == 0).alias("low"))
+
+
+def frequent(baskets: DataFrame, most: int, wide: int = WIDE) -> DataFrame:
+    """antecedent, hits, freq of the token sets with that many hits of low quality; sets that say nothing new may be missing."""
+    none = F.array().cast("array<string>")
+    open_ = baskets.select(none.alias("tag"), "items", "low")
+    found, narrow = [], []
+    while True:
+        open_ = open_.checkpoint().withColumn("row", F.monotonically_increasing_id())
+        total = open_.groupBy("tag").agg(F.count("*").alias("all"))
+        exploded = open_.select("tag", "row", "low", F.explode("items").alias("item"))
+        counted = exploded.groupBy("tag", "item").agg(F.count("*").alias("freq"), F.sum(F.col("low").cast("int")).alias("hits")).filter(F.col("hits") >= most)
+        own = counted.join(total, "tag").filter((F.size("tag") == 0) | (F.col("freq") < F.col("all"))).checkpoint()
+        found.append(own.select(F.array_sort(F.array_append("tag", F.col("item"))).alias("antecedent"), "hits", "freq"))
+        rest = own.filter("hits < freq").select("tag", "item", "freq")
+        cut = exploded.join(rest, ["tag", "item"]).groupBy("tag", "row", "low").agg(F.array_sort(F.collect_list(F.struct(-F.col("freq"), "item"))).alias("items"))
+        cut = cut.select("tag", "low", F.transform("items", lambda x: x["item"]).alias("items")).checkpoint()
+        width = cut.groupBy("tag").agg(F.max(F.size("items")).alias("width"))
+        narrow.append(cut.join(width.filter((F.col("width") > 1) & (F.col("width") <= wide)), "tag", "left_semi"))
+        broad = cut.join(width.filter(F.col("width") > wide), "tag", "left_semi")
+        if broad.isEmpty():
+            break
+        at = broad.select("tag", "low", "items", F.posexplode("items").alias("place", "item"))
+        open_ = at.select(F.array_append("tag", F.col("item")).alias("tag"), F.expr("slice(items, 1, place)").alias("items"), "low")
+    union = narrow[0]
+    for part in narrow[1:]:
+        union = union.unionByName(part)
+    union = union.checkpoint()
+    if n := union.count():
+        named = lambda x: F.to_json(F.struct("tag", x.alias("item")))
+        sets = union.select(F.transform(F.when(F.col("low"), F.array_append("items", F.lit(LOW))).otherwise(F.col("items")), named).alias("items"))
+        model = FPGrowth(itemsCol="items", minSupport=min(1.0, (most - 0.5) / n), minConfidence=1.0).fit(sets)
+        read = F.transform("items", lambda x: F.from_json(x, "tag array<string>, item string"))
+        mined = model.freqItemsets.select(read.alias("items"), "freq").select(F.col("items")[0]["tag"].alias("tag"), F.transform("items", lambda x: x["item"]).alias("items"), "freq").checkpoint()
+        bad = mined.filter(F.array_contains("items", LOW)).select("tag", F.array_sort(F.array_remove("items", LOW)).alias("items"), F.col("freq").alias("hits"))
+        plain = mined.filter(~F.array_contains("items", LOW) & (F.size("items") > 1)).select("tag", F.array_sort("items").alias("items"), "freq")
+        found.append(bad.join(plain, ["tag", "items"]).select(F.array_sort(F.concat("tag", "items")).alias("antecedent"), "hits", "freq"))
+    result = found[0]
+    for part in found[1:]:
+        result = result.unionByName(part)
+    return result
 
 
 def filed(rules: DataFrame, often: DataFrame) -> DataFrame:
@@ -67,7 +117,7 @@ def matches(sets: DataFrame, rules: DataFrame) -> DataFrame:
     return pairs.filter(F.size(F.array_intersect("antecedent", "tokens")) == F.size("antecedent")).drop("token")
 
 
-def mine(pages: DataFrame, labels: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, least: int = LEAST) -> DataFrame:
+def mine(pages: DataFrame, labels: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, least: int = LEAST, wide: int = WIDE) -> DataFrame:
     """antecedent, token, hits, confidence of the rules that are kept; written to the shared folder."""
     spark = pages.sparkSession
     shared_folder(spark)
@@ -75,16 +125,12 @@ def mine(pages: DataFrame, labels: DataFrame, support: float = SUPPORT, confiden
     total = baskets.count()
     if not total:
         return spark.createDataFrame([], RULES)
-    most = max(least, math.ceil(support * total))
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, (most - 0.5) / total), minConfidence=1.0).fit(baskets)
-    sets = model.freqItemsets.select(F.array_sort("items").alias("items"), "freq").checkpoint()
-    bad = sets.filter(F.array_contains("items", LOW) & (F.size("items") > 1)).select(F.array_remove("items", LOW).alias("antecedent"), F.col("freq").alias("hits"))
-    plain = sets.filter(~F.array_contains("items", LOW)).select(F.col("items").alias("antecedent"), "freq")
-    rules = bad.join(plain, "antecedent").select("antecedent", "hits", (F.col("hits") / F.col("freq")).alias("confidence")).filter(F.col("confidence") >= confidence)
-    often = plain.filter(F.size("antecedent") == 1).select(F.col("antecedent")[0].alias("token"), F.col("freq").alias("pages"))
+    sets = frequent(baskets, max(least, math.ceil(support * total)), wide).checkpoint()
+    rules = sets.select("antecedent", "hits", (F.col("hits") / F.col("freq")).alias("confidence")).filter(F.col("confidence") >= confidence)
+    often = sets.filter(F.size("antecedent") == 1).select(F.col("antecedent")[0].alias("token"), F.col("freq").alias("pages"))
     rules = filed(rules, often).checkpoint()
-    wide = rules.select(F.col("antecedent").alias("tokens"), F.col("confidence").alias("own"))
-    worse = matches(wide, rules).filter((F.size("antecedent") < F.size("tokens")) & (F.col("confidence") >= F.col("own"))).select(F.col("tokens").alias("antecedent")).distinct()
+    wider = rules.select(F.col("antecedent").alias("tokens"), F.col("confidence").alias("own"))
+    worse = matches(wider, rules).filter((F.size("antecedent") < F.size("tokens")) & (F.col("confidence") >= F.col("own"))).select(F.col("tokens").alias("antecedent")).distinct()
     return rules.join(worse, "antecedent", "left_anti").select("antecedent", "token", "hits", "confidence").checkpoint()
 
 
