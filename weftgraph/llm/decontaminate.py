@@ -9,15 +9,20 @@ followed from its anchor on, so that only positions that hold an anchor word are
 on edits before it. The gap between coordinates is bounded, so a repetition fails only if an edit falls between
 them; ``repetitions`` follows from the target recall. Every collision is verified by bit-parallel edit distance.
 
-Items without a word never match; documents that are NULL, empty or without words leak nothing. Repeated documents
-each get their row, a repeated item is matched under each item_id, and ties go to the first window. Extra columns
-are ignored; a NULL doc_id or item_id is carried as NULL.
+Items are sampled in the workers, each with random draws of its own and the frequency of its words among all items (a
+table of PLACES counts), so what is found doesn't depend on the other items' order or on how they are split: the
+samples are broadcast in blocks of BLOCK_MB, and the documents are passed over once for each block. Anchors that are
+frequent among items or documents are followed in portions of PORTION.
+
+Items without a word never match; documents that are NULL, empty or without words leak nothing. A very long text is
+looked at whole. Repeated documents each get their row, a repeated item is matched under each item_id, and ties go to
+the first window. Extra columns, whatever their names, are ignored, or carried by ``drop_leaking``; a NULL doc_id or
+item_id is carried as NULL. Without items, or without documents, nothing leaks.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -26,14 +31,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm.kernel import arrow_map, slices, text_words, words
+from weftgraph.llm.kernel import arrow_map, mix, slices, words
+from weftgraph.session import shared_folder
 
 TOLERANCE = 0.2
 TARGET_RECALL = 0.99
 #: Steps of the walk between two sampled coordinates, at most.
 GAP = 12
-#: MB of benchmark text that are broadcast at once; a larger benchmark is matched in as many passes as it takes.
+#: MB of samples that are broadcast at once; a larger benchmark is matched in as many passes as it takes.
 BLOCK_MB = 64
+#: Counts of words among items, by hash; pairs of a place in a text and a sample that are followed at once.
+PLACES, PORTION = 1 << 18, 1 << 21
+SEED = 11
+_SAMPLE = np.dtype([("anchor", "u8"), ("other", "u8"), ("run", "i4"), ("step", "i4"), ("at", "i4"), ("gap", "i4")])
 SCHEMA = "doc_id long, item_id long, edits int, item_words int, word_start int"
 
 
@@ -48,65 +58,90 @@ class Index:
     """Sampled coordinates of items, sorted by anchor word."""
 
     items: list[int | None]
-    patterns: list[list[int]]
+    patterns: list[np.ndarray]
     tolerance: float
     seeds: np.ndarray
     anchors: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
     first: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
     item: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
-    run: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
-    step: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
-    at: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
-    gap: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
-    other: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
+    sample: np.ndarray = field(default_factory=lambda: np.zeros(0, _SAMPLE))
     sieve: np.ndarray = field(default_factory=lambda: np.zeros(1 << 16, bool))
 
 
+def walks(runs: int) -> np.ndarray:
+    """Odd factors that make the walks' random bits, for each repetition and step."""
+    return np.random.Generator(np.random.PCG64(SEED)).integers(1, 1 << 63, (runs, 64), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
 def _advance(seeds: np.ndarray, run: np.ndarray, step: np.ndarray, word: np.ndarray) -> np.ndarray:
     """The walk's random bit of (repetition, step, word)."""
     return ((word * seeds[run, step & 63]) >> np.uint64(63)).astype(np.int64)
 
 
-def build(rows: list[tuple[int | None, str | None]], tolerance: float = TOLERANCE, target: float = TARGET_RECALL, seed: int = 11) -> Index:
-    """Sample each item's coordinates for every repetition."""
-    rng = np.random.Generator(np.random.PCG64(seed))
-    runs = repetitions(tolerance, target)
-    seeds = rng.integers(1, 1 << 63, (runs, 64), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    tokens = [(item, w) for item, text in rows if len(w := text_words(text))]
-    tokens.sort(key=lambda x: (x[0] is None, x[0] or 0, len(x[1])))
-    often = Counter(int(x) for _, w in tokens for x in w)
-    found: dict[str, list] = {k: [] for k in ("anchor", "item", "run", "step", "at", "gap", "other")}
-    for k, (_, w) in enumerate(tokens):
-        n = len(w)
-        rarity = 1 / np.array([often[int(x)] for x in w], float) ** 2
-        used = np.zeros(n)
-        for r in range(runs):
-            steps, at = [0], [0]
-            while at[-1] < n - 1:
-                bit = int((int(w[at[-1]]) * int(seeds[r, steps[-1] & 63]) & (1 << 64) - 1) >> 63)
-                at.append(at[-1] + bit)
-                steps.append(steps[-1] + 1)
-            weight = np.array([rarity[i] for i in at]) / 8 ** np.array([used[i] for i in at])
-            one = int(rng.choice(len(at), p=weight / weight.sum()))
-            far = range(one + 1, min(len(at), one + GAP + 1))
-            near = [j for j in far if at[j] > at[one]]
-            if near:
-                chance = np.array([rarity[at[j]] for j in near])
-                two = int(rng.choice(near, p=chance / chance.sum()))
-            else:
-                two = one
-            used[at[one]] += 1
-            for name, value in (("anchor", int(w[at[one]])), ("item", k), ("run", r), ("step", one), ("at", at[one]), ("gap", two - one), ("other", int(w[at[two]]))):
-                found[name].append(value)
-    index = Index([i for i, _ in tokens], [[int(x) for x in w] for _, w in tokens], tolerance, seeds)
-    if tokens:
-        anchors = np.array(found["anchor"], np.uint64)
-        order = np.argsort(anchors, kind="stable")
-        index.anchors, counts = np.unique(anchors, return_counts=True)
+def sample(words: np.ndarray, often: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    """An item's coordinates, one for each repetition; often: counts of words by hash."""
+    n = len(words)
+    rng = np.random.Generator(np.random.PCG64(int(mix(words).sum(dtype=np.uint64))))
+    rarity = 1 / np.maximum(often[(words % np.uint64(PLACES)).astype(np.int64)], 1).astype(float) ** 2
+    own = words.tolist()
+    factors = seeds.tolist()
+    used = np.zeros(n)
+    found = np.zeros(len(seeds), _SAMPLE)
+    for r, factor in enumerate(factors):
+        steps, at = [0], [0]
+        while at[-1] < n - 1:
+            at.append(at[-1] + ((own[at[-1]] * factor[steps[-1] & 63] & (1 << 64) - 1) >> 63))
+            steps.append(steps[-1] + 1)
+        places = np.array(at)
+        weight = rarity[places] / 8 ** used[places]
+        one = int(rng.choice(len(at), p=weight / weight.sum()))
+        near = [j for j in range(one + 1, min(len(at), one + GAP + 1)) if at[j] > at[one]]
+        two = one
+        if near:
+            chance = rarity[places[near]]
+            two = int(rng.choice(near, p=chance / chance.sum()))
+        used[at[one]] += 1
+        found[r] = own[at[one]], own[at[two]], r, one, at[one], two - one
+    return found
+
+
+def sampled(benchmark: DataFrame, runs: int) -> DataFrame:
+    """item_id, words, samples of each item that has words; written to the shared folder."""
+    spark = benchmark.sparkSession
+    shared_folder(spark)
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+
+    def count(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for _, _, data, offsets in slices(batch.column(1)):
+            place, n = np.unique(words(data, offsets)[0] % np.uint64(PLACES), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(place.astype(np.int32)), pa.array(n)], ["place", "n"])
+
+    counted = arrow_map(items, count, "place int, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
+    often = np.zeros(PLACES, np.int64)
+    often[counted.column(0).to_numpy()] = counted.column(1).to_numpy()
+    shared = spark.sparkContext.broadcast(often)
+    seeds = walks(runs)
+
+    def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for low, _, data, offsets in slices(batch.column(1)):
+            word, first = words(data, offsets)
+            full = np.flatnonzero(np.diff(first))
+            own = [word[first[k] : first[k + 1]] for k in full.tolist()]
+            made = [sample(w, shared.value, seeds).tobytes() for w in own]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(full + low)), pa.array([w.tobytes() for w in own], pa.binary()), pa.array(made, pa.binary())], ["item_id", "words", "samples"])
+
+    return arrow_map(items, work, "item_id long, words binary, samples binary").checkpoint()
+
+
+def build(rows: pa.Table, tolerance: float, seeds: np.ndarray) -> Index:
+    """The index of some items."""
+    index = Index(rows.column(0).to_pylist(), [np.frombuffer(w, np.uint64) for w in rows.column(1).to_pylist()], tolerance, seeds)
+    if index.items:
+        found = np.frombuffer(b"".join(rows.column(2).to_pylist()), _SAMPLE)
+        order = np.argsort(found["anchor"], kind="stable")
+        index.sample, index.item = found[order], (order // len(seeds)).astype(np.int32)
+        index.anchors, counts = np.unique(index.sample["anchor"], return_counts=True)
         index.first = np.concatenate([[0], np.cumsum(counts)])
-        index.other = np.array(found["other"], np.uint64)[order]
-        for name in ("item", "run", "step", "at", "gap"):
-            setattr(index, name, np.array(found[name], np.int32)[order])
         index.sieve[(index.anchors & np.uint64(0xFFFF)).astype(np.int64)] = True
     return index
 
@@ -120,29 +155,35 @@ def candidates(index: Index, word: np.ndarray, first: np.ndarray) -> np.ndarray:
     same = index.anchors[key] == word[where]
     where, key = where[same], key[same]
     often = index.first[key + 1] - index.first[key]
+    portion = np.cumsum(often) // PORTION
+    cuts = [0, *(np.flatnonzero(np.diff(portion)) + 1).tolist(), len(where)]
+    found = [_followed(index, word, first, where[a:b], key[a:b], often[a:b]) for a, b in zip(cuts, cuts[1:])]
+    return np.unique(np.concatenate(found), axis=0)
+
+
+def _followed(index: Index, word: np.ndarray, first: np.ndarray, where: np.ndarray, key: np.ndarray, often: np.ndarray) -> np.ndarray:
+    """Candidates of some places of anchors."""
     spot = np.repeat(where, often)
     start = np.cumsum(often) - often
     entry = np.arange(len(spot)) - np.repeat(start, often) + np.repeat(index.first[key], often)
     text = np.searchsorted(first, spot, "right") - 1
     end = first[text + 1]
     now = spot.copy()
-    gap, run, step = index.gap[entry], index.run[entry], index.step[entry]
+    own = index.sample[entry]
     for g in range(GAP):
-        on = np.flatnonzero((gap > g) & (now < end))
+        on = np.flatnonzero((own["gap"] > g) & (now < end))
         if not len(on):
             break
-        now[on] += _advance(index.seeds, run[on], step[on] + g, word[now[on]])
-    inside = now < end
-    hit = np.zeros(len(spot), bool)
-    hit[inside] = word[now[inside]] == index.other[entry[inside]]
-    item = index.item[entry[hit]].astype(np.int64)
-    return np.unique(np.stack([text[hit], item, spot[hit] - index.at[entry[hit]]], 1), axis=0) if hit.any() else np.zeros((0, 3), np.int64)
+        now[on] += _advance(index.seeds, own["run"][on], own["step"][on] + g, word[now[on]])
+    hit = now < end
+    hit[hit] = word[now[hit]] == own["other"][hit]
+    return np.stack([text[hit], index.item[entry[hit]].astype(np.int64), spot[hit] - own["at"][hit]], 1)
 
 
-def masks(pattern: list[int]) -> dict[int, int]:
+def masks(pattern: np.ndarray) -> dict[int, int]:
     """Bit mask of each word's places in the pattern."""
     found: dict[int, int] = {}
-    for i, x in enumerate(pattern):
+    for i, x in enumerate(pattern.tolist()):
         found[x] = found.get(x, 0) | 1 << i
     return found
 
@@ -196,14 +237,15 @@ def leaks(index: Index, word: np.ndarray, first: np.ndarray) -> dict[tuple[int,
     return found
 
 
-def blocks(benchmark: DataFrame, block_mb: float = BLOCK_MB) -> Iterator[list[tuple[int | None, str | None]]]:
-    """The items in groups of at most block_mb MB of text, each small enough to broadcast."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+def blocks(benchmark: DataFrame, tolerance: float, target: float, block_mb: float) -> Iterator[Index]:
+    """Indexes of at most about block_mb MB each, small enough to broadcast."""
+    seeds = walks(repetitions(tolerance, target))
+    items = sampled(benchmark, len(seeds))
+    total = items.agg(F.sum(F.octet_length("words") + F.octet_length("samples") + 16)).first()[0] or 0
     parts = math.ceil(total / (block_mb * 1e6)) or 1
     for k in range(parts):
-        own = items if parts == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k)
-        yield [(r.item_id, r.text) for r in own.collect()]
+        own = items if parts == 1 else items.filter(F.pmod(F.xxhash64("item_id", "words"), F.lit(parts)) == k)
+        yield build(own.toArrow(), tolerance, seeds)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, tolerance: float = TOLERANCE, target: float = TARGET_RECALL, block_mb: float = BLOCK_MB) -> DataFrame:
@@ -213,8 +255,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, tolerance: float = TOLERAN
     """
     spark, parts = docs.sparkSession, []
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    for rows in blocks(benchmark, block_mb):
-        shared = spark.sparkContext.broadcast(build(rows, tolerance, target))
+    for block in blocks(benchmark, tolerance, target, block_mb):
+        shared = spark.sparkContext.broadcast(block)
 
         def work(batch: pa.RecordBatch, shared=shared) -> Iterator[pa.RecordBatch]:
             index, ids = shared.value, batch.column(0)
@@ -239,8 +281,8 @@ def drop_leaking(docs: DataFrame, benchmark: DataFrame, tolerance: float = TOLER
     """The documents that leak no item, with all their columns; row by row, so NULL and repeated ids are no matter."""
     spark = docs.sparkSession
     text = docs.columns.index("text")
-    for rows in blocks(benchmark, block_mb):
-        shared = spark.sparkContext.broadcast(build(rows, tolerance, target))
+    for block in blocks(benchmark, tolerance, target, block_mb):
+        shared = spark.sparkContext.broadcast(block)
 
         def work(batch: pa.RecordBatch, shared=shared) -> Iterator[pa.RecordBatch]:
             keep = np.ones(batch.num_rows, bool)
