@@ -9,6 +9,11 @@ class Untranslatable(ValueError):
     """A pattern that Java can't express."""
 
 
+def context_free(pattern: str) -> bool:
+    """Whether a hit of the pattern, matched by itself, has the same groups: it looks at nothing beyond the hit."""
+    return not re.search(r"\\[AbBZzGK]|\(\?[=!<>(]|[\^$]|[*+?}]\+", pattern.replace("[^", "["))
+
+
 def java_flags(flags: int) -> str:
     """Inline flags: Unix line ends always, Unicode classes unless ASCII."""
     letters = "d" + ("" if flags & re.A else "U")

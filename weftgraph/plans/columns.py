@@ -1,7 +1,8 @@
 """Workflows compiled to columns: all documents at once, in one lazy plan.
 
-A *frame* is a DataFrame with a row for each live scope: the document's key, ``ord`` (the path of loop turns, whose
-order is the order of execution), the current text, variables and matches. Scopes that are entered at most once add
+A *frame* is a DataFrame with a row for each live scope: the document's doc_id, ``row`` (a number that each input row
+has for itself, so that repeated and NULL doc_ids are no matter), ``ord`` (the path of loop turns, whose order is the
+order of execution), the current text, variables and matches. Scopes that are entered at most once add
 columns to the frame: each value gets a column of its own, guarded by the scope's condition. Loops explode a child
 frame; what its body writes is folded back to the parent only if it is read later. What a workflow emits is kept as
 columns of the frame that emits it, and is exploded from there in one pass for each frame.
@@ -26,9 +27,13 @@ from pyspark.sql import functions as F
 from weftgraph.functions import expression, regex, terms
 from weftgraph.functions.expression import Unsupported
 from weftgraph.plans.machine import REFERENCE
-from weftgraph.plans.workflow import TRIPLE, Step, Workflow, flags_of, parse_steps, patterns
+from weftgraph.plans.workflow import TRIPLE, Step, Workflow, WorkflowError, flags_of, parse_steps, patterns
 
-KEY = "doc_id"
+KEY, ROW = "doc_id", "row"
+#: Parts a hit's groups in one string; a text that holds it is matched once for each group instead.
+_PART = "\ufdd1\ufdd0"
+#: Distinct queries that a select step may make of documents; MB of its rows that are put beside every scope.
+QUERIES, SELECT_MB = 1000, 16
 _STRPTIME = {"Y": "yyyy", "m": "MM", "d": "dd", "H": "HH", "M": "mm", "S": "ss", "b": "MMM", "B": "MMMM", "y": "yy", "I": "hh", "p": "a", "%": "%"}
 
 
@@ -105,8 +110,7 @@ def writes(step: Step) -> set[str]:
     if step.op == "call":
         found |= set((step.at.get("return") or {}).values())
     if step.op == "select":
-        named = step.at.get("as") or step.at["select"]
-        found |= set(named if isinstance(named, list) else [named])
+        found |= set(selected(step)[1])
     for body in step.bodies.values():
         for inner in body:
             found |= writes(inner)
@@ -148,7 +152,10 @@ class Compiler:
         self.later: set[str] = set()
         values = {c: (f"var_{c}", "str") for c in docs.columns if c != text}
         kept = [F.col(c).cast("string").alias(f"var_{c}") for c in docs.columns if c != text]
-        df = docs.select(F.col(KEY).alias(KEY), F.array().cast("array<int>").alias("ord"), F.col(text).cast("string").alias("text0"), *kept)
+        # a stream's rows can't be numbered
+        row = F.col(KEY).cast("long") if docs.isStreaming else F.monotonically_increasing_id()
+        df = docs.select(F.col(KEY).alias(KEY), row.alias(ROW), F.array().cast("array<int>").alias("ord"), F.col(text).cast("string").alias("text0"), *kept)
+        self.base = df.select(ROW, KEY)
         self.frame = Frame(df)
         self.frames = [self.frame]
         self.state = State("text0", None, (), values, {})
@@ -461,12 +468,22 @@ class Compiler:
 
     def hits(self, text: Column, pattern: re.Pattern, flags: int) -> Column:
         """All hits, each an array of groups."""
-        java = F.lit(regex.translate(pattern.pattern, flags))
-        columns = [F.regexp_extract_all(text, java, F.lit(g)) for g in range(pattern.groups + 1)]
-        if len(columns) == 1:
+        java = regex.translate(pattern.pattern, flags)
+        return self.all_hits(text, java, pattern.groups, regex.context_free(pattern.pattern))
+
+    def all_hits(self, text: Column, java: str, groups: int, alone: bool) -> Column:
+        """All hits of a Java pattern; alone: a hit's groups follow from the hit itself, which is then matched once more."""
+        columns = [F.regexp_extract_all(text, F.lit(java), F.lit(g)) for g in range(groups + 1)]
+        if not groups:
             return F.transform(columns[0], lambda x: F.array(x))
-        named = F.arrays_zip(*columns)
-        return F.transform(named, lambda x: F.array(*(x[f"{k}"] for k in range(len(columns)))))
+        zipped = F.transform(F.arrays_zip(*columns), lambda x: F.array(*(x[f"{k}"] for k in range(groups + 1))))
+        if not alone or groups < 2:
+            return zipped
+        flags = re.match(r"(?:\(\?[a-zA-Z]+\))?", java)[0]
+        whole = f"{flags}\\A(?:{java[len(flags):]})\\z"
+        parts = F.lit(_PART.join(f"${g}" for g in range(1, groups + 1)))
+        fast = F.transform(columns[0], lambda x: F.concat(F.array(x), F.split(F.regexp_replace(x, F.lit(whole), parts), F.lit(_PART))))
+        return F.when(F.contains(text, F.lit(_PART[0])), zipped).otherwise(fast)
 
     @contextmanager
     def loop(self, rows: Column, body: list[Step], carried: bool = False):
@@ -510,8 +527,8 @@ class Compiler:
             return
         number = self.number()
         names = [f"fold_{number}_{k}" for k in range(len(grouped))]
-        rows = child.df.groupBy(KEY, F.slice("ord", F.lit(1), depth).alias("ord")).agg(*(c.alias(n) for n, (_, _, c) in zip(names, grouped)))
-        self.frame.df = self.frame.df.join(rows, [KEY, "ord"], "left")
+        rows = child.df.groupBy(ROW, F.slice("ord", F.lit(1), depth).alias("ord")).agg(*(c.alias(n) for n, (_, _, c) in zip(names, grouped)))
+        self.frame.df = self.frame.df.join(rows, [ROW, "ord"], "left")
         for column, (name, kind, _) in zip(names, grouped):
             if kind == "match":
                 own = after.matches[name]
@@ -584,11 +601,8 @@ class Compiler:
             own.append((pattern, shift))
             joint.append(f"({regex.local(pattern.pattern, flags, shift)})")
             shift += pattern.groups + 1
-        java = F.lit(regex.java_flags(0) + "|".join(joint))
-        text = F.col(self.state.text)
-        columns = [F.regexp_extract_all(text, java, F.lit(g)) for g in range(shift)]
-        zipped = F.arrays_zip(*columns)
-        rows = self.add("hits", F.transform(zipped, lambda x: F.array(*(x[f"{k}"] for k in range(shift)))))
+        alone = all(regex.context_free(p.pattern) for p, _ in own)
+        rows = self.add("hits", self.all_hits(F.col(self.state.text), regex.java_flags(0) + "|".join(joint), shift - 1, alone))
         everything = [s for part in parts for s in [Step("set", {"set": part.get("as"), "as": part.get("as"), "to": ""}, ""), *part.body()] if s.op != "set" or s.get("set")]
         names = set().union(*(writes(s) for s in everything), set())
         carried = {k: set().union(*(reads(s) for s in part.body()), set()) & names - ({part.get("as"), f"{part.get('as')}_count"} if part.get("as") else set()) - {str(s.at["append"]) for s in _inner(part.body()) if s.op == "append"} for k, part in enumerate(parts)}
@@ -601,7 +615,7 @@ class Compiler:
                 branch = F.when(F.col(item)[own[k][1]] != "", k).otherwise(branch)
             at = self.add("branch", branch)
             self.emit("match", length=F.length(F.col(item)[0]))
-            upto = Window.partitionBy(KEY, F.slice("ord", F.lit(1), F.size("ord") - 1)).orderBy(F.element_at("ord", -1)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+            upto = Window.partitionBy(ROW, F.slice("ord", F.lit(1), F.size("ord") - 1)).orderBy(F.element_at("ord", -1)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
             for k, part in enumerate(parts):
                 if name := part.get("as"):
                     same = [j for j, p in enumerate(parts) if p.get("as") == name]
@@ -766,20 +780,40 @@ class Compiler:
         """
         from weftgraph.operators import graph
 
-        names = step.get("select") if isinstance(step.get("select"), list) else [step.get("select")]
-        targets = step.get("as") or names
-        targets = targets if isinstance(targets, list) else [targets]
-        if references(step.get("where")) or references(step.get("from")):
-            raise Unsupported(f"{step.where}: a query made at run time")
-        rows = graph.select(graph.source(self.frame.df.sparkSession, step.get("from"), self.graphs), step.get("where"))
-        found = self.number()
+        names, targets = selected(step)
+        found, spark = self.number(), self.frame.df.sparkSession
         column = f"rows_{found}"
-        held = rows.select(F.struct(*(F.col(n).alias(f"c{k}") for k, n in enumerate(names))).alias("row"))
-        if step.body():
-            held = held.agg(F.array_sort(F.collect_list("row")).alias(column))
+        row = F.struct(*(F.col(n).alias(f"c{k}") for k, n in enumerate(names))).alias("row")
+
+        def held(rows: DataFrame, *by: str) -> DataFrame:
+            own = rows.select(*by, row).groupBy(*by)
+            if step.body():
+                return own.agg(F.array_sort(F.collect_list("row")).alias(column))
+            return own.agg(F.min("row").alias("row")).select(*by, F.array_compact(F.array("row")).alias(column))
+
+        if references(step.get("where")) or references(step.get("from")):
+            # a query for each text that the template gives, run once for all documents that give it
+            asked, where = self.add("asked", self.template(step.get("from"))), self.add("asked", self.template(step.get("where")))
+            live = self.frame.df if self.state.on is None else self.frame.df.filter(F.col(self.state.on))
+            texts = live.select(asked, where).distinct().limit(QUERIES + 1).collect()
+            if len(texts) > QUERIES:
+                raise WorkflowError(f"{step.where}: documents make more than {QUERIES} different queries")
+            nothing = F.slice(F.array(F.struct(*(F.lit("").alias(f"c{k}") for k in range(len(names))))), 1, 0)
+            rows = None
+            for a, w in texts:
+                part = graph.select(graph.source(spark, a, self.graphs), w).select(F.lit(a).alias(asked), F.lit(w).alias(where), *names)
+                rows = part if rows is None else rows.unionByName(part)
+            if rows is None:
+                self.frame.df = self.frame.df.withColumn(column, nothing)
+            else:
+                self.frame.df = self.frame.df.join(held(rows, asked, where), [asked, where], "left").withColumn(column, F.coalesce(column, nothing))
         else:
-            held = held.agg(F.min("row").alias("row")).select(F.array_compact(F.array("row")).alias(column))
-        self.frame.df = self.frame.df.crossJoin(held)
+            rows = graph.select(graph.source(spark, step.get("from"), self.graphs), step.get("where")).select(*names)
+            if step.body():
+                size = rows.agg(F.sum(sum((F.coalesce(F.octet_length(n), F.lit(0)) for n in names), F.lit(16)))).first()[0] or 0
+                if size > SELECT_MB * 1e6:
+                    raise WorkflowError(f"{step.where}: {size / 1e6:.0f} MB of rows are too many to put beside every document")
+            self.frame.df = self.frame.df.join(F.broadcast(held(rows)), F.lit(True))
         some = F.size(F.col(column)) > 0
         if step.body():
             marks = [Step("set", {"set": t, "to": ""}, "") for t in targets]
@@ -898,6 +932,16 @@ class Compiler:
                 self.emit("log", o["kind"] == "literal", level=F.lit("WARN"), message=F.lit("a literal has no inverse"))
 
 
+def selected(step: Step) -> tuple[list[str], list[str]]:
+    """Names that a select step takes from the result, and the variables they go to; both are lists or parted by blanks."""
+    names = step.get("select") if isinstance(step.get("select"), list) else str(step.get("select")).split()
+    targets = step.get("as") or names
+    targets = targets if isinstance(targets, list) else str(targets).split()
+    if len(targets) != len(names):
+        raise WorkflowError(f"{step.where}: as many names as variables are needed")
+    return [n.lstrip("?") for n in names], [t.lstrip("?") for t in targets]
+
+
 def regex_flags(pattern: str) -> str:
     """Inline flags of a mapping's pattern."""
     return regex.java_flags(re.compile(pattern).flags & (re.I | re.M | re.X | re.S))
@@ -925,7 +969,7 @@ def _unescape(column: Column) -> Column:
 
 
 def events(compiler: Compiler, kind: str, columns: dict[str, str]) -> DataFrame | None:
-    """doc_id, ord and the given columns (name: type) of all events of a kind, one pass for each frame."""
+    """row, doc_id, ord and the given columns (name: type) of all events of a kind, one pass for each frame."""
     result = None
     for frame in compiler.frames:
         own = [e for e in frame.events if e["kind"] == kind]
@@ -936,9 +980,42 @@ def events(compiler: Compiler, kind: str, columns: dict[str, str]) -> DataFrame
             return [F.concat("ord", F.array(F.lit(e["seq"]))).alias("ord"), *(e.get(n, F.lit(None)).cast(t).alias(n) for n, t in columns.items())]
 
         if len(own) == 1:
-            part = frame.df.filter(own[0]["guard"]).select(KEY, *row(own[0]))
+            part = frame.df.filter(own[0]["guard"]).select(ROW, KEY, *row(own[0]))
         else:
             rows = F.array(*(F.when(e["guard"], F.struct(*row(e))) for e in own))
-            part = frame.df.select(KEY, F.explode(F.array_compact(rows)).alias("e")).select(KEY, "e.*")
+            part = frame.df.select(ROW, KEY, F.explode(F.array_compact(rows)).alias("e")).select(ROW, KEY, "e.*")
         result = part if result is None else result.unionByName(part)
     return result
+
+
+def tally(compiler: Compiler) -> DataFrame:
+    """row, doc_id, no_triples, no_matches, total_match_len, score, failed of each input row.
+
+    All kinds of events are counted in one pass for each frame and one shuffle; nothing is exploded for it.
+    """
+    zero, none = F.lit(0).cast("long"), F.lit(0.0)
+    result = compiler.base.select(ROW, KEY, zero.alias("no_triples"), zero.alias("no_matches"), zero.alias("total_match_len"), none.alias("score"), F.lit(False).alias("failed"))
+    for frame in compiler.frames:
+        if not any(e["kind"] in ("triple", "match", "error") for e in frame.events):
+            continue
+
+        def total(kind: str, value: Callable[[dict], Column], start: Column) -> Column:
+            out = start
+            for e in frame.events:
+                if e["kind"] == kind:
+                    out = out + F.when(e["guard"], value(e)).otherwise(start)
+            return out
+
+        one = F.lit(1).cast("long")
+        failed = F.lit(False)
+        for e in frame.events:
+            if e["kind"] == "error":
+                failed = failed | e["guard"]
+        part = frame.df.select(
+            ROW, KEY, total("triple", lambda e: one, zero).alias("no_triples"), total("match", lambda e: one, zero).alias("no_matches"),
+            total("match", lambda e: F.coalesce(e["length"], F.lit(0)).cast("long"), zero).alias("total_match_len"),
+            total("match", lambda e: 1 - 1 / F.greatest(F.lit(1), e["length"]), none).alias("score"), failed.alias("failed"),
+        )
+        result = result.unionByName(part)
+    sums = [F.sum(c).alias(c) for c in ("no_triples", "no_matches", "total_match_len", "score")]
+    return result.groupBy(ROW).agg(F.first(KEY).alias(KEY), *sums, F.max("failed").alias("failed"))

@@ -38,7 +38,8 @@ class Output:
 class Machine:
     """State of one document under one workflow."""
 
-    def __init__(self, text: str | None, values: dict[str, Any], documented: bool = False, python: bool = False):
+    def __init__(self, text: str | None, values: dict[str, Any], documented: bool = False, python: bool = False, selects: dict[str, list[tuple]] | None = None):
+        self.selects = selects or {}
         self.text: Any = text
         self.values = dict(values)
         self.matches: dict[str, re.Match | None] = {}
@@ -464,7 +465,20 @@ class Machine:
         return True, value
 
     def do_select(self, step: Step) -> tuple[bool, Any]:
-        raise DocumentError("graphs are queried over all documents, with operators.graph")
+        from weftgraph.plans.columns import selected
+
+        if step.where not in self.selects:
+            raise DocumentError(f"{step.where}: a query made at run time, in a workflow that has no columns")
+        rows, targets = self.selects[step.where], selected(step)[1]
+        value = None
+        for row in rows if step.body() else rows[:1]:
+            self.values.update(zip(targets, row))
+            value = row[0]
+            if step.body():
+                self.run(step.body())
+        if not rows and step.body("else"):
+            return self.run(step.body("else"))
+        return bool(rows), None if step.body() else value
 
     # triples
 
@@ -527,9 +541,9 @@ class Machine:
                     self.out.triples.append((o, self.node(inverse), s, True))
 
 
-def run_document(workflow: Workflow, text: str | None, values: dict[str, Any], documented: bool = False, python: bool = False) -> Output:
-    """All that a workflow makes of one document; an error empties the triples."""
-    machine = Machine(text, values, documented, python)
+def run_document(workflow: Workflow, text: str | None, values: dict[str, Any], documented: bool = False, python: bool = False, selects: dict[str, list[tuple]] | None = None) -> Output:
+    """All that a workflow makes of one document; an error empties the triples. selects: rows of its queries, by place."""
+    machine = Machine(text, values, documented, python, selects)
     try:
         machine.run(workflow.steps)
     except (DocumentError, RecursionError, TypeError) as e:
