@@ -7,7 +7,7 @@ from tests.test_queries import FOLDER, QUERIES
 
 def test_replaced_texts_are_whole(spark):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()}
-    got = {r.doc_id: r.message for r in QUERIES["replace_text_all"](spark, FOLDER).collect()}
+    got = {r.doc_id: r.message for r in QUERIES["replace_text"](spark, FOLDER).collect()}
     assert got == {k: re.sub("([a-z]+) ([a-z]+)", r"\2$\1", t) for k, t in texts.items()}
     assert sum(len(t) > 60 for t in got.values()) > len(got) // 2
 
@@ -21,5 +21,5 @@ def test_paths_through_all_orders(spark):
             want.add((k, up))
             if up in held:
                 up //= 2
-    got = [(int(r.x.rsplit("/", 1)[1]), int(r.y.rsplit("/", 1)[1])) for r in QUERIES["bgp_path_all"](spark, FOLDER).collect()]
+    got = [(int(r.x.rsplit("/", 1)[1]), int(r.y.rsplit("/", 1)[1])) for r in QUERIES["bgp_path"](spark, FOLDER).collect()]
     assert len(got) == len(want) and set(got) == want and max(keys) > 300

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,8 +10,8 @@ from pyspark.sql import functions as F
 
 from weftgraph.operators import graph, layout
 from weftgraph.plans import engine
-from weftgraph.sources import readers
-from weftgraph.session import table
+from weftgraph.session import shared_folder, table
+from weftgraph.sources import readers, sinks
 
 EX = "http://example.org/"
 TITLE = r"""
@@ -109,14 +110,8 @@ def with_template(spark, folder):
     return messages(over_table(spark, folder, "nation", "n_nationkey", "n_name", """[{with: "@{n_name}/@{n_regionkey}", do: [{match: '^(.).*/(.)', as: m, do: [{echo: "@{m.1}@{m.2}"}]}]}]""", "n_name", "n_regionkey"))
 
 
-@query("replace_text", r"SELECT doc_id, regexp_extract(regexp_replace(text, '([a-z]+) ([a-z]+)', '\2$\1', 'g'), '(?s)^(.{0,60})', 1) AS message FROM documents")
+@query("replace_text", r"SELECT doc_id, regexp_replace(text, '([a-z]+) ([a-z]+)', '\2$\1', 'g') AS message FROM documents")
 def replace_text(spark, folder):
-    return messages(over_documents(spark, folder, r"""[{replace: '([a-z]+) ([a-z]+)', with: '\2$\1'}, {match: '^(.{0,60})', as: m, do: [{echo: "@{m.1}"}]}]"""))
-
-
-@query("replace_text_all", r"SELECT doc_id, regexp_replace(text, '([a-z]+) ([a-z]+)', '\2$\1', 'g') AS message FROM documents")
-def replace_text_all(spark, folder):
-    """As replace_text, with the whole of each replaced text."""
     return messages(over_documents(spark, folder, r"""[{replace: '([a-z]+) ([a-z]+)', with: '\2$\1'}, {match: '^(.*)', as: m, do: [{echo: "@{m.1}"}]}]"""))
 
 
@@ -125,7 +120,7 @@ def template_format(spark, folder):
     return messages(over_table(spark, folder, "part", "p_partkey", "p_name", """[{echo: "@{p_name:iri}|@{p_type:trim}|@{p_name:norm}"}]""", "p_name", "p_type"))
 
 
-@query("norm_unescape")
+@query("norm_unescape", f"SELECT page_id AS doc_id, replace(replace(replace(replace(replace(regexp_replace(trim(t), '[\n\t\r]+', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&middot;', '·'), '&amp;', '&') AS message FROM (SELECT page_id, regexp_extract(text, '<title>([^<]*)</title>', 1) AS t FROM {CONTENT} WHERE regexp_matches(text, '<title>([^<]*)</title>'))")
 def norm_unescape(spark, folder):
     return messages(over_pages(spark, folder, """[{match: '<title>([^<]*)</title>', as: t, do: [{echo: "@{t.1:norm}"}]}]"""))
 
@@ -196,19 +191,19 @@ def mapping_regex(spark, folder):
     return messages(over_table(spark, folder, "part", "p_partkey", "p_type", """[{mapping: kind, pairs: [{re: '[A-Z]*O', to: o}, {re: S, to: s}]}, {map: "@{p_type}", apply: kind, to: w}, {echo: "@{w}"}]""", "p_type"))
 
 
-_ALTERNATIVES = "(?s)(<h1>([^<]*))|(<p>([^<]*))|(<li>(.))"
+_ALTERNATIVES = "(?s)(<h1>([^<]*))|(<p>([^<]*))|(<li>(.*?)</li>)"
 
 
 @query("sequence_alternatives", f"""WITH hits AS (SELECT page_id, unnest(regexp_extract_all(text, '{_ALTERNATIVES}', 0)) AS hit, generate_subscripts(regexp_extract_all(text, '{_ALTERNATIVES}', 0), 1) AS n FROM {CONTENT}),
 kinds AS (SELECT page_id, n, hit, CASE WHEN hit[:4] = '<h1>' THEN 'h' WHEN hit[:3] = '<p>' THEN 'p' ELSE 'l' END AS kind FROM hits)
-SELECT page_id AS doc_id, kind || row_number() OVER (PARTITION BY page_id, kind ORDER BY n) || ' ' || regexp_extract(hit, '(?s)^<[a-z1]+>(.?)', 1) AS message FROM kinds""")
+SELECT page_id AS doc_id, kind || row_number() OVER (PARTITION BY page_id, kind ORDER BY n) || ' ' || regexp_extract(hit, '(?s)^<[a-z1]+>(.*?)(</li>)?$', 1) AS message FROM kinds""")
 def sequence_alternatives(spark, folder):
     return messages(over_pages(spark, folder, """
 - sequence-of: blocks
   alternatives:
-    - {match: '<h1>([^<]?)[^<]*', as: h, do: [{echo: "h@{h_count} @{h.1}"}]}
-    - {match: '<p>([^<]?)[^<]*', as: p, do: [{echo: "p@{p_count} @{p.1}"}]}
-    - {match: '<li>(.)', as: l, do: [{echo: "l@{l_count} @{l.1}"}]}
+    - {match: '<h1>([^<]*)', as: h, do: [{echo: "h@{h_count} @{h.1}"}]}
+    - {match: '<p>([^<]*)', as: p, do: [{echo: "p@{p_count} @{p.1}"}]}
+    - {match: '<li>(.*?)</li>', as: l, do: [{echo: "l@{l_count} @{l.1}"}]}
 """))
 
 
@@ -273,6 +268,123 @@ def dimensions_break(spark, folder):
 """))
 
 
+@query("match_1_cells", """WITH t AS (SELECT o_orderkey AS doc_id, [['key', 'state', 'who'], [o_orderkey::VARCHAR, o_orderstatus, o_custkey::VARCHAR], [o_custkey::VARCHAR, 'x', o_orderkey::VARCHAR]] AS m FROM orders)
+SELECT doc_id, CASE WHEN i = 1 THEN 'first ' || m[1][j] WHEN j = 1 THEN 'lead ' || i || ' ' || m[i][j] ELSE m[1][j] || '=' || m[i][j] || ' of ' || m[i][1] || ' ' || j END AS message FROM t, range(1, 4) a(i), range(1, 4) b(j)""")
+def match_1_cells(spark, folder):
+    text = F.concat_ws("\n", F.lit("key|state|who"), F.concat_ws("|", "o_orderkey", "o_orderstatus", "o_custkey"), F.concat_ws("|", "o_custkey", F.lit("x"), "o_orderkey"))
+    rows = table(spark, folder, "orders").select(F.col("o_orderkey").alias("doc_id"), text.alias("text"))
+    return messages(engine.run(r"""
+- match-1: '([^\n]+)'
+  as-1: row
+  match-2: '([^|]+)'
+  as-2: cell
+  header-as: head
+  leading-as: lead
+  first: [{echo: "first @{cell.1}"}]
+  leading: [{echo: "lead @{row_count} @{cell.1}"}]
+  do: [{echo: "@{head.1}=@{cell.1} of @{lead.1} @{cell_count}"}]
+""", rows))
+
+
+def nations(spark: SparkSession, folder: str, workflow: str, **more) -> engine.Result:
+    """A workflow over the nations, with their names as texts and variables."""
+    rows = table(spark, folder, "nation").select(F.col("n_nationkey").cast("long").alias("doc_id"), F.col("n_name").alias("text"), "n_name", "n_regionkey")
+    return engine.run(workflow, rows, **more)
+
+
+@query("clear_ifndef", "SELECT n_nationkey::BIGINT AS doc_id, CASE WHEN n_regionkey = 1 THEN 'cleared ' || n_nationkey ELSE n_name END AS message FROM nation")
+def clear_ifndef(spark, folder):
+    return messages(nations(spark, folder, """[{set: a, to: "@{n_name}"}, {if: "@{n_regionkey} == 1", do: [{clear: a}]}, {ifdef: a, do: [{echo: "@{a}"}]}, {ifndef: a, do: [{echo: "cleared @{doc_id}"}]}]"""))
+
+
+@query("desc_dump", "SELECT n_nationkey::BIGINT AS doc_id, unnest(['DESC', 'DUMP', 'DUMP']) AS level, unnest(['names', 'n ' || n_name, n_name]) AS message FROM nation")
+def desc_dump(spark, folder):
+    return nations(spark, folder, """[{desc: names}, {dump: "n @{n_name}"}, {dump: _}]""").log.select("doc_id", "level", "message")
+
+
+@query("save_as", "SELECT n_nationkey::BIGINT AS doc_id, unnest(['out/' || n_name || '.ttl', n_regionkey || '.txt']) AS name, unnest(['', n_name]) AS content FROM nation")
+def save_as(spark, folder):
+    return nations(spark, folder, """[{save-as: "out/@{n_name:iri}.ttl"}, {dump: _, file: "@{n_regionkey}.txt"}]""").files.select("doc_id", F.col("level").alias("name"), F.col("message").alias("content"))
+
+
+@query("exec_python", "SELECT n_nationkey::BIGINT AS doc_id, reverse(n_name) || ' ' || floor(sqrt(n_nationkey))::BIGINT AS message FROM nation")
+def exec_python(spark, folder):
+    return messages(nations(spark, folder, """[{exec: "import math\\nvars['back'] = vars['n_name'][::-1]\\nvars['root'] = math.isqrt(int(vars['doc_id']))"}, {echo: "@{back} @{root}"}]""", python=True))
+
+
+@query("reference_optional", "SELECT doc_id, '[' || regexp_extract(text, '([0-9]+)', 1) || ']' AS message FROM documents")
+def reference_optional(spark, folder):
+    return messages(over_documents(spark, folder, """[{any-of: [{match: '([0-9]+)', as: m, do: [{pass: }]}, {pass: }]}, {echo: "[@{?m.1}]"}]"""))
+
+
+@query("reference_missing", "SELECT doc_id, 'there is no match m' AS message FROM documents WHERE NOT regexp_matches(text, '[0-9]') UNION ALL SELECT doc_id, 'm has no group 7' FROM documents")
+def reference_missing(spark, folder):
+    docs = readers.documents(spark, folder)
+    return engine.run("""[{match: '([0-9]+)', as: m, do: [{pass: }]}, {echo: "@{m.1}"}]""", docs).errors.select("doc_id", "message").unionByName(engine.run("""[{match: '(?s)(.*)', as: m, do: [{echo: "@{m.7}"}]}]""", docs).errors.select("doc_id", "message"))
+
+
+@query("documented_references", "SELECT doc_id, regexp_extract(text, '([0-9]+)', 1) || '/' AS message FROM documents WHERE regexp_matches(text, '[0-9]')")
+def documented_references(spark, folder):
+    return messages(engine.run("""[{match: '([0-9]+)', do: [{echo: "@{1}/@{unset}"}]}]""", readers.documents(spark, folder), documented=True))
+
+
+@query("unknown_function", "SELECT n_nationkey::BIGINT AS doc_id, n_name || ' None' AS message FROM nation")
+def unknown_function(spark, folder):
+    return messages(nations(spark, folder, """[{echo: "@{n_name:shout} @{unset}"}]"""))
+
+
+@query("rows_of_one_document", "WITH t AS (SELECT CASE WHEN c_custkey % 3 > 0 THEN c_custkey % 3 END AS doc_id, c_name || ' ' || c_mktsegment AS text FROM customer) SELECT doc_id, len(regexp_extract_all(text, '[A-Z]')) || ' ' || regexp_extract_all(text, '[A-Z]')[-1] AS message FROM t")
+def rows_of_one_document(spark, folder):
+    """Repeated and NULL doc_ids: each row is a document of its own."""
+    rows = table(spark, folder, "customer").select(F.when(F.col("c_custkey") % 3 > 0, F.col("c_custkey") % 3).alias("doc_id"), F.concat_ws(" ", "c_name", "c_mktsegment").alias("text"))
+    return messages(engine.run("""[{match-every: '([A-Z])', as: a, do: [{set: last, to: "@{a.1}"}]}, {echo: "@{a_count} @{last}"}]""", rows))
+
+
+@query("select_template", "SELECT c_custkey AS doc_id, c_name || ' ' || coalesce((SELECT min(n_name) FROM nation WHERE n_regionkey = c_nationkey % 7), 'nowhere') AS message FROM customer")
+def select_template(spark, folder):
+    rows = table(spark, folder, "customer").select(F.col("c_custkey").alias("doc_id"), F.col("c_name").alias("text"), "c_name", (F.col("c_nationkey") % 7).alias("r"))
+    return messages(engine.run("""
+- select: name
+  from: places
+  where: "PREFIX ex: <http://example.org/> SELECT ?name WHERE { ?n ex:in ex:r@{r} ; ex:name ?name }"
+  as: nation
+  else: [{set: nation, to: nowhere}]
+- {echo: "@{c_name} @{nation}"}
+""", rows, graphs={"places": places(spark, folder).graph}))
+
+
+# Python's regular expressions
+
+
+@query("regex_unicode", r"SELECT doc_id, regexp_extract(text, '([^\s\p{L}\p{N}_]+)[\p{L}\p{N}_]', 1) || '|' || regexp_extract(text, '[^\x00-\x7F]') AS message FROM documents WHERE regexp_matches(text, '([^\s\p{L}\p{N}_]+)[\p{L}\p{N}_]') AND regexp_matches(text, '[^\x00-\x7F]')")
+def regex_unicode(spark, folder):
+    return messages(over_documents(spark, folder, r"""[{match: '([^\s\w]+)\w', as: a, do: [{match: '[^\x00-\x7f]', as: b, do: [{echo: "@{a.1}|@{b.0}"}]}]}]"""))
+
+
+@query("regex_case", "SELECT doc_id, len(regexp_extract_all(text, '(?i)é[a-z]'))::VARCHAR AS message FROM documents WHERE regexp_matches(text, '(?i)é[a-z]')")
+def regex_case(spark, folder):
+    return messages(over_documents(spark, folder, """[{match-every: 'É[A-Z]', flags: I, as: e, do: [{pass: }]}, {ifdef: e_count, do: [{echo: "@{e_count}"}]}]"""))
+
+
+@query("regex_ends", "SELECT n_nationkey::BIGINT AS doc_id, unnest(['last ' || n_name[-1:], 'any ' || chr(13), 'space 3']) AS message FROM nation")
+def regex_ends(spark, folder):
+    """$ stands before a last line break, \\Z doesn't; a dot takes a carriage return; \\s takes separators."""
+    text = F.concat(F.lit("a\rb "), F.lit("\x1c\x1d"), F.col("n_name"), F.lit("\n"))
+    rows = table(spark, folder, "nation").select(F.col("n_nationkey").cast("long").alias("doc_id"), text.alias("text"))
+    return messages(engine.run(r"""[{match: '(\w)$', as: l, do: [{echo: "last @{l.1}"}]}, {match: '(\w)\Z', do: [{echo: never}]}, {match: 'a(.)b', as: d, do: [{echo: "any @{d.1}"}]}, {match: 'b(\s{3})\w', as: s, do: [{set: n, eval: "len('x@{s.1}x') - 2"}, {echo: "space @{n}"}]}]""", rows))
+
+
+@query("regex_groups", "SELECT p_partkey AS doc_id, p_type || '/' || regexp_extract(p_brand, '#([0-9]+)', 1) || '/' || CASE WHEN p_brand[7:7] = '1' THEN '1' ELSE '' END AS message FROM part")
+def regex_groups(spark, folder):
+    """Named groups, and one that may be unset."""
+    return messages(over_table(spark, folder, "part", "p_partkey", "p_brand", r"""[{match: '(?P<maker>Brand)#(?P<the_number>(1)?\d*)', as: b, do: [{echo: "@{p_type}/@{b.the_number}/@{b.3}"}]}]""", "p_type"))
+
+
+@query("regex_conditional", "SELECT p_partkey AS doc_id, CASE WHEN p_brand[7:7] = '1' AND length(p_brand) > 7 THEN 'one ' || p_brand[8:] ELSE 'other ' || p_brand[7:] END AS message FROM part")
+def regex_conditional(spark, folder):
+    return messages(over_table(spark, folder, "part", "p_partkey", "p_brand", r"""[{match: '#(1)?((?(1)\d+|\d{1,2}))$', as: b, do: [{set: kind, to: other}, {ifdef: b.1, do: [{set: kind, to: one}]}, {echo: "@{kind} @{b.2}"}]}]"""))
+
+
 _VALUES = "(SELECT o_orderkey AS doc_id, CASE o_orderkey % 7 WHEN 0 THEN '1_000' WHEN 1 THEN '+07' WHEN 2 THEN 'TRUE' WHEN 3 THEN '^12' WHEN 4 THEN '5d' WHEN 5 THEN ' 42 ' ELSE o_orderpriority END AS v FROM orders)"
 _XSD = "http://www.w3.org/2001/XMLSchema#"
 
@@ -356,18 +468,71 @@ def error_drops_document(spark, folder):
     return flat(engine.run("""[{prefix: ex, iri: http://example.org/}, {subject: "ex:@{doc_id}", predicate: ex:v, object: {integer: "@{v}"}}]""", rows).triples)
 
 
+@query("literal_steps", f"SELECT p_partkey AS doc_id, '{EX}p' || p_partkey AS s, '{EX}size' AS p, CASE WHEN p_size > 25 THEN 'big' ELSE p_size::VARCHAR END AS o, CASE WHEN p_size > 25 THEN '' ELSE '{_XSD}integer' END AS datatype FROM part")
+def literal_steps(spark, folder):
+    """An object that the first of some steps gives."""
+    return flat(over_table(spark, folder, "part", "p_partkey", "p_name", """
+- {prefix: ex, iri: http://example.org/}
+- subject: "ex:p@{doc_id}"
+  predicate: ex:size
+  object: [{if: "@{p_size} > 25", do: [{echo: big}]}, {echo: "@{p_size}"}]
+""", "p_size").triples)
+
+
+@query("best_triples", f"""WITH a AS (SELECT page_id, len(regexp_extract_all(text, '<li>', 0)) AS li, len(regexp_extract_all(text, '<p>', 0)) AS p FROM {CONTENT})
+SELECT page_id AS doc_id, CASE WHEN li >= p AND (li > p OR li * 4 >= p * 3) THEN 'links' ELSE 'paragraphs' END AS workflow, '{EX}' || page_id AS s, '{EX}n' AS p, unnest(range(1, greatest(li, p) + 1))::VARCHAR AS o FROM a""")
+def best_triples(spark, folder):
+    docs = readers.pages(spark, folder)
+    body = """[{{prefix: ex, iri: http://example.org/}}, {{match-every: <{0}>, as: x, do: [{{subject: "ex:@{{page_id}}", predicate: ex:n, object: "@{{x_count}}"}}]}}]"""
+    rows = engine.best_triples([engine.run(body.format(tag), docs, name=name) for name, tag in (("links", "li"), ("paragraphs", "p"))])
+    return rows.select("doc_id", "workflow", *(F.col(f"{c}.lex").alias(c) for c in "spo"))
+
+
+@query("ntriples_lines", f"""SELECT '<' || s || '> <' || p || '> ' || CASE WHEN p IN ('{EX}in', '{EX}holds') THEN '<' || o || '>' WHEN p = '{EX}name' THEN '"' || o || '"@en' WHEN datatype <> '' THEN '"' || o || '"^^<' || datatype || '>' ELSE '"' || o || '"' END || ' .' AS value FROM (SELECT DISTINCT s, p, o, datatype FROM {_PLACES})""")
+def ntriples_lines(spark, folder):
+    return sinks.lines(places(spark, folder).graph)
+
+
+@query("ntriples_read", f"SELECT DISTINCT s, p, o, datatype, CASE WHEN p = '{EX}name' THEN 'en' ELSE '' END AS lang FROM {_PLACES}")
+def ntriples_read(spark, folder):
+    """A graph that is written to the shared folder and read again."""
+    path = f"{shared_folder(spark)}/graph-{uuid.uuid4().hex}"
+    sinks.write_ntriples(places(spark, folder).graph, path)
+    return readers.ntriples(spark, path).select(*(F.col(f"{c}.lex").alias(c) for c in "spo"), *(F.coalesce(F.col(f"o.{c}"), F.lit("")).alias(c) for c in ("datatype", "lang")))
+
+
+@query("turtle_text", f"""SELECT n_nationkey::BIGINT AS doc_id, '@prefix ex: <{EX}> .' || chr(10) || chr(10) || 'ex:n' || n_nationkey || chr(10) || '    ex:code "' || n_nationkey || '",' || chr(10) || '        "' || n_nationkey || '"^^<{_XSD}integer> ;' || chr(10) || '    ex:in ex:r' || n_regionkey || ' ;' || chr(10) || '    ex:name "' || n_name || '"@en .' || chr(10) || chr(10)
+|| 'ex:r' || n_regionkey || chr(10) || '    ex:holds ex:n' || n_nationkey || ' .' || chr(10) AS text FROM nation""")
+def turtle_text(spark, folder):
+    return sinks.turtle_texts(places(spark, folder).graph, {"ex": EX})
+
+
+@query("turtle_read", f"SELECT n_nationkey::BIGINT AS doc_id, s, p, o, datatype FROM (SELECT DISTINCT doc_id AS n_nationkey, s, p, o, datatype FROM {_PLACES})")
+def turtle_read(spark, folder):
+    """Turtle texts, parsed again."""
+    return flat(readers.turtle_graphs(sinks.turtle_texts(places(spark, folder).graph, {"ex": EX})))
+
+
 # graph queries
 
 
 def suppliers(spark: SparkSession, folder: str) -> DataFrame:
-    """Nations, and their suppliers, as one graph."""
+    """Regions, nations, and their suppliers and customers, as one graph."""
     rows = table(spark, folder, "supplier").select(F.col("s_suppkey").alias("doc_id"), F.col("s_name").alias("text"), "s_name", "s_nationkey", F.col("s_acctbal").cast("int").alias("balance"))
     more = engine.run("""
 - {prefix: ex, iri: http://example.org/}
 - subject: "ex:s@{doc_id}"
   predicates: [{predicate: ex:label, object: {text: "@{s_name}"}}, {predicate: ex:from, object: {iri: "ex:n@{s_nationkey}"}}, {predicate: ex:balance, object: {integer: "@{balance}"}}]
 """, rows).graph
-    return places(spark, folder).graph.unionByName(more).select("s", "p", "o")
+    rows = table(spark, folder, "customer").select(F.col("c_custkey").alias("doc_id"), F.col("c_name").alias("text"), "c_name", "c_nationkey", "c_mktsegment")
+    buyers = engine.run("""
+- {prefix: ex, iri: http://example.org/}
+- subject: "ex:c@{doc_id}"
+  predicates: [{predicate: ex:called, object: {text: "@{c_name}"}}, {predicate: ex:lives, object: {iri: "ex:n@{c_nationkey}"}}, {predicate: ex:segment, object: {text: "@{c_mktsegment}"}}]
+""", rows).graph
+    rows = table(spark, folder, "region").select(F.col("r_regionkey").cast("long").alias("doc_id"), F.col("r_name").alias("text"), "r_name")
+    regions = engine.run("""[{prefix: ex, iri: http://example.org/}, {subject: "ex:r@{doc_id}", predicate: ex:title, object: {text: "@{r_name}"}}]""", rows).graph
+    return places(spark, folder).graph.unionByName(more).unionByName(buyers).unionByName(regions).select("s", "p", "o")
 
 
 _PREFIX = f"PREFIX ex: <{EX}> "
@@ -378,6 +543,11 @@ def bgp_join(spark, folder):
     return graph.select(suppliers(spark, folder), _PREFIX + "SELECT ?label ?name WHERE { ?s ex:label ?label ; ex:from ?n ; ex:balance ?b . ?n ex:name ?name FILTER(?b > 5000) }")
 
 
+@query("bgp_customers", "SELECT c_name AS customer, s_name AS supplier, r_name AS region FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey JOIN supplier ON s_nationkey = n_nationkey WHERE c_mktsegment = 'BUILDING' AND trunc(s_acctbal)::INT < 0")
+def bgp_customers(spark, folder):
+    return graph.select(suppliers(spark, folder), _PREFIX + 'SELECT ?customer ?supplier ?region WHERE { ?c ex:called ?customer ; ex:segment "BUILDING" ; ex:lives ?n . ?n ex:in/ex:title ?region . ?s ex:from ?n ; ex:label ?supplier ; ex:balance ?b FILTER(?b < 0) }')
+
+
 @query("bgp_optional", "SELECT n_name AS name, s_name AS label FROM nation LEFT JOIN (SELECT * FROM supplier WHERE trunc(s_acctbal)::INT > 9000) ON s_nationkey = n_nationkey")
 def bgp_optional(spark, folder):
     return graph.select(suppliers(spark, folder), _PREFIX + "SELECT ?name ?label WHERE { ?n ex:name ?name OPTIONAL { ?s ex:from ?n ; ex:label ?label ; ex:balance ?b FILTER(?b > 9000) } }")
@@ -398,19 +568,57 @@ def bgp_union(spark, folder):
     return graph.select(suppliers(spark, folder), _PREFIX + 'SELECT DISTINCT ?x WHERE { { ex:n3 ex:in ?x } UNION { ?x ex:name ?m FILTER(CONTAINS(?m, "1")) } }')
 
 
-@query("bgp_path", f"""WITH RECURSIVE e AS (SELECT o_orderkey AS a, o_orderkey // 2 AS b FROM orders WHERE o_orderkey BETWEEN 2 AND 300), w AS (SELECT a, b FROM e UNION SELECT w.a, e.b FROM w JOIN e ON w.b = e.a) SELECT '{EX}' || a AS x, '{EX}' || b AS y FROM w""")
-def bgp_path(spark, folder):
-    rows = table(spark, folder, "orders").filter("o_orderkey between 2 and 300").select(F.col("o_orderkey").alias("doc_id"), F.lit("").alias("text"), F.floor(F.col("o_orderkey") / 2).alias("up"))
-    own = engine.run("""[{prefix: ex, iri: http://example.org/}, {subject: "ex:@{doc_id}", predicate: ex:up, object: {iri: "ex:@{up}"}}]""", rows).graph
-    return graph.select(own.select("s", "p", "o"), _PREFIX + "SELECT ?x ?y WHERE { ?x ex:up+ ?y }")
+_UP = """[{prefix: ex, iri: http://example.org/}, {subject: "ex:@{doc_id}", predicate: ex:up, object: {iri: "ex:@{up}"}}]"""
+_EDGES = "e AS (SELECT o_orderkey AS a, o_orderkey // 2 AS b FROM orders)"
 
 
-@query("bgp_path_all", f"""WITH RECURSIVE e AS (SELECT o_orderkey AS a, o_orderkey // 2 AS b FROM orders), w AS (SELECT a, b FROM e UNION SELECT w.a, e.b FROM w JOIN e ON w.b = e.a) SELECT '{EX}' || a AS x, '{EX}' || b AS y FROM w""")
-def bgp_path_all(spark, folder):
-    """As bgp_path, over all orders."""
+def tree(spark: SparkSession, folder: str) -> DataFrame:
+    """Each order and the one with half its number, as a graph."""
     rows = table(spark, folder, "orders").select(F.col("o_orderkey").alias("doc_id"), F.lit("").alias("text"), F.floor(F.col("o_orderkey") / 2).alias("up"))
-    own = engine.run("""[{prefix: ex, iri: http://example.org/}, {subject: "ex:@{doc_id}", predicate: ex:up, object: {iri: "ex:@{up}"}}]""", rows).graph
-    return graph.select(own.select("s", "p", "o"), _PREFIX + "SELECT ?x ?y WHERE { ?x ex:up+ ?y }")
+    return engine.run(_UP, rows).graph.select("s", "p", "o")
+
+
+@query("bgp_path", f"""WITH RECURSIVE {_EDGES}, w AS (SELECT a, b FROM e UNION SELECT w.a, e.b FROM w JOIN e ON w.b = e.a) SELECT '{EX}' || a AS x, '{EX}' || b AS y FROM w""")
+def bgp_path(spark, folder):
+    return graph.select(tree(spark, folder), _PREFIX + "SELECT ?x ?y WHERE { ?x ex:up+ ?y }")
+
+
+@query("bgp_path_from", f"WITH RECURSIVE {_EDGES}, w AS (SELECT 100 AS b UNION SELECT e.b FROM w JOIN e ON w.b = e.a) SELECT '{EX}' || b AS y FROM w")
+def bgp_path_from(spark, folder):
+    """Paths of any length, none too, from one node."""
+    return graph.select(tree(spark, folder), _PREFIX + "SELECT ?y WHERE { ex:100 ex:up* ?y }")
+
+
+@query("bgp_path_to", f"WITH RECURSIVE {_EDGES}, w AS (SELECT a FROM e WHERE b = 5 UNION SELECT e.a FROM w JOIN e ON w.a = e.b) SELECT '{EX}' || a AS x FROM w")
+def bgp_path_to(spark, folder):
+    """Paths of one edge at least to one node."""
+    return graph.select(tree(spark, folder), _PREFIX + "SELECT ?x WHERE { ?x ex:up+ ex:5 }")
+
+
+@query("bgp_minus", "SELECT n_name AS name FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE trunc(s_acctbal)::INT > 8000)")
+def bgp_minus(spark, folder):
+    return graph.select(suppliers(spark, folder), _PREFIX + "SELECT ?name WHERE { ?n ex:name ?name MINUS { ?s ex:from ?n ; ex:balance ?b FILTER(?b > 8000) } }")
+
+
+@query("bgp_exists", "SELECT n_name AS name FROM nation WHERE EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = n_nationkey AND trunc(s_acctbal)::INT > 8000)")
+def bgp_exists(spark, folder):
+    return graph.select(suppliers(spark, folder), _PREFIX + "SELECT ?name WHERE { ?n ex:name ?name FILTER EXISTS { ?s ex:from ?n ; ex:balance ?b FILTER(?b > 8000) } }")
+
+
+@query("bgp_bind", "SELECT s_name AS label, (trunc(s_acctbal)::INT * 2 + 1)::VARCHAR AS twice, upper(s_name) || '!' AS loud FROM supplier")
+def bgp_bind(spark, folder):
+    return graph.select(suppliers(spark, folder), _PREFIX + 'SELECT ?label ?twice ?loud WHERE { ?s ex:label ?label ; ex:balance ?b BIND(?b * 2 + 1 AS ?twice) BIND(CONCAT(UCASE(?label), "!") AS ?loud) }')
+
+
+@query("bgp_values", "SELECT n_name AS name, s_name AS label FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_nationkey IN (2, 5, 11)")
+def bgp_values(spark, folder):
+    return graph.select(suppliers(spark, folder), _PREFIX + "SELECT ?name ?label WHERE { VALUES ?n { ex:n2 ex:n5 ex:n11 } ?s ex:from ?n ; ex:label ?label . ?n ex:name ?name }")
+
+
+@query("bgp_order", "SELECT s_name AS label, trunc(s_acctbal)::INT::VARCHAR AS b FROM supplier ORDER BY trunc(s_acctbal)::INT DESC, s_name LIMIT 7 OFFSET 3")
+def bgp_order(spark, folder):
+    """A report of the top few."""
+    return graph.select(suppliers(spark, folder), _PREFIX + "SELECT ?label ?b WHERE { ?s ex:label ?label ; ex:balance ?b } ORDER BY DESC(?b) ?label LIMIT 7 OFFSET 3")
 
 
 @query("select_first", f"SELECT p_partkey AS doc_id, p_brand || ' ' || (SELECT min(n_name) FROM nation WHERE n_regionkey = 2) AS message FROM part")
@@ -489,6 +697,40 @@ def cell_assign(spark, folder):
     return layout.words_to_cells(words, pages.crossJoin(cells))
 
 
+_GRID = ([(60.0 * c, 99.5 + 20 * r, 60.0 * c + 60, 100.5 + 20 * r) for r in range(5) for c in range(3) if (r, c) != (1, 0)]
+         + [(60.0 * c - 0.5, 100.0 + 20 * r, 60.0 * c + 0.5, 120.0 + 20 * r) for c in range(4) for r in range(4)] + [(300.0, 150.0, 310.0, 151.0)])
+_TD = "'<td><p>t{0}{1}-' || n_nationkey || '</p></td>'"
+
+
+@query("page_tables", """SELECT n_nationkey::BIGINT AS doc_id, 0 AS page, '<div class="page" pageno="1">' || chr(10) || '<p>Nation ' || n_name || '</p>' || chr(10) || '<table>' || chr(10) || """
+       + " || ".join("'<tr>' || " + " || ".join(_TD.format(0 if (r, c) == (1, 0) else r, c) for c in range(3)) + " || '</tr>' || chr(10)" for r in range(4))
+       + """ || '</table>' || chr(10) || '<p>below ' || n_nationkey || '<br/>goes on</p>' || chr(10) || '<p>right</p>' || chr(10) || '</div>' || chr(10) AS xhtml FROM nation""")
+def page_tables(spark, folder):
+    """Ruled tables in segments of one cell, with a cell that spans rows, between a heading and lines of text in two columns."""
+    def box(x0, y0, x1, y1, text=None):
+        own = [F.lit(float(v)).alias(n) for n, v in (("x0", x0), ("y0", y0), ("x1", x1), ("y1", y1))]
+        return F.struct(*own) if text is None else F.struct(*own, text.cast("string").alias("text"))
+
+    key = F.col("n_nationkey").cast("string")
+    words = [box(5, 10, 45, 20, F.lit("Nation")), box(48, 10, 110, 20, F.col("n_name"))]
+    words += [box(60 * c + 5, 104 + 20 * r, 60 * c + 50, 114 + 20 * r, F.concat(F.lit(f"t{r}{c}-"), key)) for r in range(4) for c in range(3) if (r, c) != (1, 0)]
+    words += [box(5, 212, 60, 222, F.lit("goes on")), box(5, 200, 40, 210, F.lit("below")), box(43, 200, 60, 210, key), box(250, 215, 280, 225, F.lit("right"))]
+    rows = table(spark, folder, "nation").select(F.col("n_nationkey").cast("long").alias("doc_id"), F.lit(0).alias("page"), "n_nationkey", "n_name")
+    own = rows.select("doc_id", "page", F.posexplode(F.array(*words)).alias("word_no", "w")).select("doc_id", "page", F.col("word_no").cast("long").alias("word_no"), "w.*")
+    rects = rows.select("doc_id", "page", F.posexplode(F.array(*(box(*b) for b in _GRID))).alias("rect_no", "r")).select("doc_id", "page", F.col("rect_no").cast("long").alias("rect_no"), "r.*")
+    return layout.layout(own, rects)
+
+
+@query("segments", f"""WITH RECURSIVE {_RECTS}, ordered AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page, kind, CASE kind WHEN 'h' THEN y0 ELSE x0 END ORDER BY CASE kind WHEN 'h' THEN x0 ELSE y0 END, rect_no) AS n, CASE kind WHEN 'h' THEN y0 ELSE x0 END AS level, CASE kind WHEN 'h' THEN x0 ELSE y0 END AS a, CASE kind WHEN 'h' THEN x1 ELSE y1 END AS b FROM guides WHERE kind IS NOT NULL),
+runs AS (SELECT doc_id, page, kind, level, n, 1 AS run, b AS upto, a, b FROM ordered WHERE n = 1 UNION ALL
+SELECT o.doc_id, o.page, o.kind, o.level, o.n, CASE WHEN abs(o.a - r.upto) <= 1.5 THEN r.run ELSE r.run + 1 END, CASE WHEN abs(o.a - r.upto) <= 1.5 THEN greatest(r.upto, o.b) ELSE o.b END, o.a, o.b FROM runs r JOIN ordered o ON r.doc_id = o.doc_id AND r.page = o.page AND r.kind = o.kind AND r.level = o.level AND o.n = r.n + 1)
+SELECT doc_id, page, kind, level AS at, min(a) AS low, max(b) AS high FROM runs GROUP BY doc_id, page, kind, level, run HAVING max(b) - min(a) > 16""")
+def segments(spark, folder):
+    rows = layout.segments(layout.guide_lines(_rects(spark, folder)))
+    flat_ = F.col("kind") == "h"
+    return rows.select("doc_id", "page", "kind", F.when(flat_, F.col("y0")).otherwise(F.col("x0")).alias("at"), F.when(flat_, F.col("x0")).otherwise(F.col("y0")).alias("low"), F.when(flat_, F.col("x1")).otherwise(F.col("y1")).alias("high"))
+
+
 @query("page_xhtml")
 def page_xhtml(spark, folder):
     words, rects = _words(spark, folder), _rects(spark, folder)

@@ -28,7 +28,11 @@ def java_name(name: str) -> str:
     return "g" + "".join(c if c.isascii() and c.isalnum() else f"x{ord(c):x}" for c in name)
 
 
-def _class(pattern: str, at: int) -> tuple[str, int]:
+#: What Python takes for blanks besides Unicode's own.
+_BLANK = "\\x1c-\\x1f"
+
+
+def _class(pattern: str, at: int, ascii_: bool = False) -> tuple[str, int]:
     """A character class that starts at at, in Java, and where it ends."""
     out, k = "[", at + 1
     if pattern[k : k + 1] == "^":
@@ -46,7 +50,12 @@ def _class(pattern: str, at: int) -> tuple[str, int]:
                 k = m.end()
                 first = False
                 continue
-            out += "\\x08" if two[1] == "b" else two
+            if two == "\\s" and not ascii_:
+                out += two + _BLANK
+            elif two == "\\S" and not ascii_ and not out.startswith("[^"):
+                out += f"[^\\s{_BLANK}]"
+            else:
+                out += "\\x08" if two[1] == "b" else two
             k += 2
         else:
             out += "\\" + c if c in "[&]^" or c == "-" and pattern[k + 1] == "-" else c
@@ -78,13 +87,15 @@ def translate(pattern: str, flags: int = re.S, shift: int = 0, inline: bool = Tr
                 out.append(f"\\x{int(m[0][1:], 8):02x}")
                 k = m.end()
                 continue
+            elif d in "sS" and not compiled.flags & re.A:
+                out.append(f"[{'^' if d == 'S' else ''}\\s{_BLANK}]")
             elif d == "N":
                 raise Untranslatable(f"named character in {pattern!r}")
             else:
                 out.append(pattern[k : k + 2])
             k += 2
         elif c == "[":
-            text, k = _class(pattern, k)
+            text, k = _class(pattern, k, bool(compiled.flags & re.A))
             out.append(text)
         elif pattern.startswith("(?P<", k):
             end = pattern.index(">", k)

@@ -2,8 +2,9 @@
 
 Basic graph patterns (with ``;``, ``,``, ``a``, inverse ``^p`` and paths ``p+``, ``p*``), FILTER, [NOT] EXISTS, OPTIONAL,
 UNION, MINUS, BIND, VALUES, DISTINCT, GROUP BY with aggregates, HAVING, ORDER BY, LIMIT and OFFSET. Terms are bound in
-N-Triples form, so that joins are plain equi-joins of strings; patterns with constants come first. With a ``by`` column
-each document's graph is queried by itself.
+N-Triples form, so that joins are plain equi-joins of strings; patterns with constants come first. A graph that is
+looked into more than once is made once, in the shared folder. With a ``by`` column each document's graph is queried by
+itself.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.functions.terms import XSD, c_ntriples
 from weftgraph.session import shared_folder
-from weftgraph.sources.readers import ntriples, unescaped
+from weftgraph.sources.readers import ntriples, turtle, unescaped
 
 _TOKEN = re.compile(
     r"""(?P<space>\s+|\#[^\n]*)|(?P<iri><[^<>\s]*>)|(?P<string>"(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*')|(?P<lang>@[A-Za-z-]+)|(?P<var>[?$]\w+)
@@ -58,8 +59,11 @@ class _Query:
         self.at = 0
         self.prefixes = {"xsd": XSD, "rdf": "http://www.w3.org/1999/02/22-rdf-syntax-ns#"}
         self.by = [by] if by else []
-        self.triples = triples.select(*self.by, *(c_ntriples(F.col(c)).alias(c) for c in ("s", "p", "o"))).distinct()
         self.spark = triples.sparkSession
+        self.triples = triples.select(*self.by, *(c_ntriples(F.col(c)).alias(c) for c in ("s", "p", "o"))).distinct()
+        if sum(t[1] in (".", ";", ",", "/", "{", "+", "*") for t in self.tokens) > 1:
+            shared_folder(self.spark)
+            self.triples = self.triples.checkpoint()
         self.fresh = 0
 
     # reading
@@ -120,7 +124,12 @@ class _Query:
         else:
             rows = self.triples.filter(F.col("p") == p)
         if mark in ("+", "*"):
-            rows = self.closure(rows.select(*self.by, "s", "o"), mark == "*").withColumn("p", F.lit(p))
+            edges = rows.select(*self.by, "s", "o")
+            if s.startswith("?") and o.startswith("?"):
+                rows = self.closure(edges, mark == "*")
+            else:
+                rows = self.reached(edges, o if s.startswith("?") else s, not s.startswith("?"), mark == "*")
+            rows = rows.withColumn("p", F.lit(p))
         columns, seen = [], {}
         for name, value in (("s", s), ("p", p), ("o", o)):
             if value.startswith("?"):
@@ -134,23 +143,37 @@ class _Query:
         return rows.select(*self.by, *columns)
 
     def closure(self, edges: DataFrame, reflexive: bool) -> DataFrame:
-        """All pairs that a path joins; paths double in each round, which is written to the shared folder."""
+        """All pairs that a path joins; each round, written to the shared folder, doubles the length of the paths.
+
+        A shortest path of up to twice the length so far is one that the last round found and one that is known.
+        """
         shared_folder(self.spark)
-        pairs = edges.distinct().checkpoint()
-        n = pairs.count()
-        while True:
-            step = pairs.alias("a").join(pairs.alias("b"), [F.col("a.o") == F.col("b.s"), *(F.col(f"a.{c}") == F.col(f"b.{c}") for c in self.by)])
-            longer = step.select(*(F.col(f"a.{c}").alias(c) for c in self.by), F.col("a.s").alias("s"), F.col("b.o").alias("o"))
-            pairs = pairs.union(longer).distinct().checkpoint()
-            now = pairs.count()
-            if now == n:
-                break
-            n = now
+        pairs = new = edges.distinct().checkpoint()
+        while not new.isEmpty():
+            step = new.alias("a").join(pairs.alias("b"), [F.col("a.o") == F.col("b.s"), *(F.col(f"a.{c}") == F.col(f"b.{c}") for c in self.by)])
+            longer = step.select(*(F.col(f"a.{c}").alias(c) for c in self.by), F.col("a.s").alias("s"), F.col("b.o").alias("o")).distinct()
+            new = longer.join(pairs, [*self.by, "s", "o"], "left_anti").checkpoint()
+            pairs = pairs.unionByName(new)
         if reflexive:
             own = self.triples.select(*self.by, F.explode(F.array("s", "o")).alias("s")).distinct()
-            pairs = pairs.union(own.withColumn("o", F.col("s"))).distinct()
+            pairs = pairs.unionByName(own.withColumn("o", F.col("s"))).distinct()
         return pairs
 
+    def reached(self, edges: DataFrame, end: str, forward: bool, reflexive: bool) -> DataFrame:
+        """Pairs with the given start (or end) that a path joins: edge by edge from there, never over all pairs."""
+        shared_folder(self.spark)
+        here, there = ("s", "o") if forward else ("o", "s")
+        edges = edges.select(*self.by, F.col(here).alias("node"), F.col(there).alias("next")).distinct().checkpoint()
+        seen = new = edges.filter(F.col("node") == end).select(*self.by, F.col("next").alias("node")).checkpoint()
+        while not new.isEmpty():
+            step = new.join(edges, [*self.by, "node"]).select(*self.by, F.col("next").alias("node")).distinct()
+            new = step.join(seen, [*self.by, "node"], "left_anti").checkpoint()
+            seen = seen.unionByName(new)
+        if reflexive:
+            own = self.triples.select(*self.by).distinct() if self.by else self.spark.range(1).select()
+            seen = seen.unionByName(own.withColumn("node", F.lit(end))).distinct()
+        return seen.select(*self.by, F.col("node").alias(there), F.lit(end).alias(here))
+
     def joined(self, left: DataFrame | None, right: DataFrame, how: str = "inner") -> DataFrame:
         if left is None:
             return right
@@ -502,5 +525,7 @@ def first(triples: DataFrame, query: str, by: str = "doc_id") -> DataFrame:
 
 
 def source(spark: SparkSession, name: str, graphs: dict[str, DataFrame]) -> DataFrame:
-    """Statements of a graph that is given by name, or of N-Triples files."""
-    return graphs[name] if name in graphs else ntriples(spark, name)
+    """Statements of a graph that is given by name, or of Turtle (.ttl, .turtle, .n3) or N-Triples files."""
+    if name in graphs:
+        return graphs[name]
+    return turtle(spark, name) if name.lower().rstrip("*/").endswith((".ttl", ".turtle", ".n3")) else ntriples(spark, name)

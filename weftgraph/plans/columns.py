@@ -190,12 +190,13 @@ class Compiler:
         made = self.add("v", self.guarded(column.cast("string") if kind == "str" else column, old[0] if old else None))
         self.state = replace(self.state, values={**self.state.values, name: (made, kind)})
 
-    def remember(self, name: str | None, column: Column, pattern: re.Pattern, scope: tuple[int, ...]) -> None:
-        if name:
-            old = self.state.matches.get(name)
+    def remember(self, name: str | None, column: Column, pattern: re.Pattern, scope: tuple[int, ...], latest: bool = True) -> None:
+        """Keep a match under its name, and as the latest one where numbers alone mean that."""
+        for own in [name] * bool(name) + [None] * (latest and self.documented):
+            old = self.state.matches.get(own)
             made = self.add("m", self.guarded(column, old.column if old else None))
-            own = Match(made, pattern.groups, tuple(pattern.groupindex.items()), scope)
-            self.state = replace(self.state, matches={**self.state.matches, name: own, None: own})
+            match = Match(made, pattern.groups, tuple(pattern.groupindex.items()), scope)
+            self.state = replace(self.state, matches={**self.state.matches, own: match})
 
     def emit(self, kind: str, condition: Column | None = None, **columns: Column) -> None:
         guard = F.lit(True) if self.state.on is None else F.col(self.state.on)
@@ -455,7 +456,7 @@ class Compiler:
             on = self.state.on
             groups = self.add("groups", value)
             self.emit("match", length=F.length(F.col(groups)[0]))
-            self.remember(step.get("as"), F.col(groups), pattern, self.state.scope)
+            self.remember(step.get("as"), F.col(groups), pattern, self.state.scope, False)
             with self.text(self.add("text", F.col(groups)[group])):
                 self.run(step.body())
         return F.col(on), None

@@ -6,8 +6,10 @@ import os
 import re
 import urllib.request
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from weftgraph.functions.terms import Term, c_ntriples, ntriples
 
@@ -43,6 +45,18 @@ def turtle(statements: list[tuple[Term, Term, Term]], prefixes: dict[str, str])
     return "\n".join(out)
 
 
+def turtle_texts(graph: DataFrame, prefixes: dict[str, str], name: str = "doc_id") -> DataFrame:
+    """doc_id, text: each document's graph in Turtle."""
+    grouped = graph.groupBy(name).agg(F.array_sort(F.collect_set(F.struct("s", "p", "o"))).alias("rows"))
+
+    def work(batches):
+        for batch in batches:
+            made = [turtle([tuple(Term(*(x[c][n] for n in Term._fields)) for c in ("s", "p", "o")) for x in rows], prefixes) for rows in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.string())], [name, "text"])
+
+    return grouped.mapInArrow(work, StructType([graph.schema[name], StructField("text", StringType())]))
+
+
 def write_turtle(graph: DataFrame, folder: str, prefixes: dict[str, str], name: str = "doc_id") -> None:
     """A file <doc_id>.ttl for each document in a folder that all workers share; a task that is repeated writes the same file."""
     grouped = graph.groupBy(name).agg(F.collect_set(F.struct("s", "p", "o")).alias("rows"))
