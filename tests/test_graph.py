@@ -1,8 +1,10 @@
+import urllib.error
+
 import pytest
 
 from weftgraph.functions.terms import TERM, XSD, Term, iri, literal
 from weftgraph.operators import graph
-from weftgraph.sources import readers, sinks
+from weftgraph.sources import endpoints, readers, sinks
 
 EX = "http://ex.org/"
 
@@ -83,8 +85,35 @@ def test_turtle(triples, tmp_path):
 def test_upload(triples, tmp_path):
     def send(request):
         name = request.full_url.rsplit(":", 1)[1]
-        (tmp_path / name).write_text(request.method + "\n" + request.data.decode())
+        (tmp_path / name).write_text(f"{request.method} {request.get_header('Authorization')}\n{request.data.decode()}")
         return open(tmp_path / name)
 
-    sinks.upload(triples, "http://store/data", send=send)
-    assert (tmp_path / "2").read_text() == f"PUT\n<{EX}a> <{EX}knows> <{EX}z> ."
+    endpoints.upload(triples, "http://me:pw@store/data", send=send)
+    assert (tmp_path / "2").read_text() == f"PUT Basic bWU6cHc=\n<{EX}a> <{EX}knows> <{EX}z> ."
+    endpoints.upload(triples.filter("doc_id = 2"), "http://store/data", into="urn:all", token="t", send=send)
+    assert (tmp_path / "all").read_text().startswith("POST Bearer t\n")
+
+
+def test_tokens_are_asked_for_again(triples, tmp_path):
+    def send(request):
+        seen = tmp_path / "seen"
+        seen.write_text((seen.read_text() if seen.exists() else "") + request.get_header("Authorization") + ";")
+        if seen.read_text().count(";") < 3:
+            raise urllib.error.HTTPError(request.full_url, 401, "no", {}, None)
+        return open(seen)
+
+    count = tmp_path / "count"
+
+    def token():
+        count.write_text((count.read_text() if count.exists() else "") + "x")
+        return count.read_text()
+
+    one = triples.filter("doc_id = 2")
+    endpoints.upload(one, "http://store/data", token=token, send=send)
+    assert (tmp_path / "seen").read_text() == "Bearer x;Bearer xx;Bearer xxx;"
+
+    def never(request):
+        raise urllib.error.HTTPError(request.full_url, 401, "no", {}, None)
+
+    with pytest.raises(Exception, match="401"):
+        endpoints.upload(one, "http://store/data", token="t", send=never)

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.functions.terms import XSD, c_ntriples
 from weftgraph.session import shared_folder
+from weftgraph.sources import endpoints
 from weftgraph.sources.readers import ntriples, turtle, unescaped
 
 _TOKEN = re.compile(
@@ -524,6 +525,14 @@ def first(triples: DataFrame, query: str, by: str = "doc_id") -> DataFrame:
     return rows.groupBy(by).agg(F.min(F.struct(*names)).alias("row")).select(by, "row.*")
 
 
+def ask(spark: SparkSession, name: str, query: str, graphs: dict[str, DataFrame], user: str | None = None, password: str | None = None) -> DataFrame:
+    """Texts of a query's rows: over a graph given by name, files, or, for a URL, at the SPARQL endpoint that is there."""
+    if name not in graphs and endpoints.is_remote(name):
+        rows = endpoints.ask(spark, name, query, user, password)
+        return rows.select(*(lex(F.col(f"`{c}`")).alias(c) for c in rows.columns))
+    return select(source(spark, name, graphs), query)
+
+
 def source(spark: SparkSession, name: str, graphs: dict[str, DataFrame]) -> DataFrame:
     """Statements of a graph that is given by name, or of Turtle (.ttl, .turtle, .n3) or N-Triples files."""
     if name in graphs:

@@ -802,14 +802,14 @@ class Compiler:
             nothing = F.slice(F.array(F.struct(*(F.lit("").alias(f"c{k}") for k in range(len(names))))), 1, 0)
             rows = None
             for a, w in texts:
-                part = graph.select(graph.source(spark, a, self.graphs), w).select(F.lit(a).alias(asked), F.lit(w).alias(where), *names)
+                part = graph.ask(spark, a, w, self.graphs, step.get("username"), step.get("password")).select(F.lit(a).alias(asked), F.lit(w).alias(where), *names)
                 rows = part if rows is None else rows.unionByName(part)
             if rows is None:
                 self.frame.df = self.frame.df.withColumn(column, nothing)
             else:
                 self.frame.df = self.frame.df.join(held(rows, asked, where), [asked, where], "left").withColumn(column, F.coalesce(column, nothing))
         else:
-            rows = graph.select(graph.source(spark, step.get("from"), self.graphs), step.get("where")).select(*names)
+            rows = graph.ask(spark, step.get("from"), step.get("where"), self.graphs, step.get("username"), step.get("password")).select(*names)
             if step.body():
                 size = rows.agg(F.sum(sum((F.coalesce(F.octet_length(n), F.lit(0)) for n in names), F.lit(16)))).first()[0] or 0
                 if size > SELECT_MB * 1e6:

@@ -140,7 +140,7 @@ def queried(workflow: Workflow, docs: DataFrame, graphs: dict[str, DataFrame] |
     for step in workflow.walk():
         if step.op == "select" and not columns.references([step.get("where"), step.get("from")]):
             names, _ = columns.selected(step)
-            rows = graph.select(graph.source(docs.sparkSession, step.get("from"), graphs or {}), step.get("where")).select(*names)
+            rows = graph.ask(docs.sparkSession, step.get("from"), step.get("where"), graphs or {}, step.get("username"), step.get("password")).select(*names)
             if not step.body():
                 rows = rows.agg(F.min(F.struct(*names)).alias("row")).filter("row is not null").select("row.*")
             size = rows.agg(F.sum(sum((F.coalesce(F.octet_length(n), F.lit(0)) for n in names), F.lit(16)))).first()[0] or 0

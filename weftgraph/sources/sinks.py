@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 import re
-import urllib.request
+from typing import Protocol
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -57,32 +57,45 @@ def turtle_texts(graph: DataFrame, prefixes: dict[str, str], name: str = "doc_id
     return grouped.mapInArrow(work, StructType([graph.schema[name], StructField("text", StringType())]))
 
 
+class Output(Protocol):
+    """Where texts and graphs of documents go; it is sent to the workers, and a repeated task writes the same again."""
+
+    def write_turtle(self, name: str, text: str) -> None: ...
+
+    def write_text(self, name: str, text: str) -> None: ...
+
+
+class Folder:
+    """Files in a folder that all workers share; .ttl and .txt are added to names without them."""
+
+    def __init__(self, path: str):
+        self.path = path
+
+    def write_turtle(self, name: str, text: str) -> None:
+        self._write(name if name.endswith(".ttl") else f"{name}.ttl", text)
+
+    def write_text(self, name: str, text: str) -> None:
+        self._write(name if name.endswith(".txt") else f"{name}.txt", text)
+
+    def _write(self, name: str, text: str) -> None:
+        path = os.path.join(self.path, name)
+        os.makedirs(os.path.dirname(path), exist_ok=True)
+        with open(f"{path}.{os.getpid()}", "w", encoding="utf-8") as f:
+            f.write(text)
+        os.replace(f"{path}.{os.getpid()}", path)
+
+
+def deliver(rows: DataFrame, output: Output, name: str = "name", text: str = "text", turtle: bool = False) -> None:
+    """Hand each row's text to an output, in the workers."""
+    picked = rows.select(F.col(name).cast("string").alias("name"), F.col(text).cast("string").alias("text"))
+
+    def write(own) -> None:
+        for row in own:
+            (output.write_turtle if turtle else output.write_text)(row.name or "unnamed", row.text or "")
+
+    picked.foreachPartition(write)
+
+
 def write_turtle(graph: DataFrame, folder: str, prefixes: dict[str, str], name: str = "doc_id") -> None:
-    """A file <doc_id>.ttl for each document in a folder that all workers share; a task that is repeated writes the same file."""
-    grouped = graph.groupBy(name).agg(F.collect_set(F.struct("s", "p", "o")).alias("rows"))
-
-    def write(rows) -> None:
-        os.makedirs(folder, exist_ok=True)
-        for row in rows:
-            text = turtle([tuple(Term(*t) for t in x) for x in row["rows"]], prefixes)
-            path = os.path.join(folder, f"{row[name]}.ttl")
-            with open(f"{path}.{os.getpid()}", "w", encoding="utf-8") as f:
-                f.write(text)
-            os.replace(f"{path}.{os.getpid()}", path)
-
-    grouped.foreachPartition(write)
-
-
-def upload(graph: DataFrame, url: str, method: str = "PUT", token: str | None = None, send=urllib.request.urlopen) -> None:
-    """Each document's graph to a graph store, as ``url?graph=urn:doc:<doc_id>``; PUT makes repeated tasks harmless."""
-    grouped = graph.groupBy("doc_id").agg(F.collect_set(F.concat_ws(" ", c_ntriples(F.col("s")), c_ntriples(F.col("p")), c_ntriples(F.col("o")), F.lit("."))).alias("rows"))
-
-    def post(rows) -> None:
-        for row in rows:
-            request = urllib.request.Request(f"{url}?graph=urn:doc:{row['doc_id']}", "\n".join(sorted(row["rows"])).encode(), method=method)
-            request.add_header("Content-Type", "application/n-triples")
-            if token:
-                request.add_header("Authorization", f"Bearer {token}")
-            send(request).close()
-
-    grouped.foreachPartition(post)
+    """A file <name>.ttl for each document in a folder that all workers share."""
+    deliver(turtle_texts(graph, prefixes, name), Folder(folder), name, turtle=True)
