@@ -11,6 +11,29 @@ def rows_of(texts):
     return np.concatenate([q.statistics(data, offsets)[0] for _, _, data, offsets in slices(pa.array(texts))])
 
 
+def discriminant_by_force(low, high):
+    """The score of a description, from the two classes' descriptions, by plain densities."""
+    x = [np.array(low), np.array(high)]
+    both, total = np.concatenate(x), len(low) + len(high)
+    centre, scale = both.mean(0), np.sqrt(np.maximum(both.var(0), 1e-6))
+    z = [(a - centre) / scale for a in x]
+    covariances = [np.cov(a.T, bias=True) for a in z]
+    pooled = sum(len(a) * c for a, c in zip(x, covariances)) / total
+    parts = []
+    for a, c in zip(z, covariances):
+        weight = q.HALF / (q.HALF + len(a))
+        c = weight * pooled + (1 - weight) * c
+        c = (1 - q.RIDGE) * c + q.RIDGE * max(np.trace(c) / len(c), 1e-3) * np.eye(len(c))
+        parts.append((np.log(len(a) / total) - np.linalg.slogdet(c)[1] / 2, a.mean(0), np.linalg.inv(c)))
+
+    def score(row):
+        point = np.clip((row - centre) / scale, -q.REACH, q.REACH)
+        bad, good = (n - (point - m) @ i @ (point - m) / 2 for n, m, i in parts)
+        return good - bad
+
+    return score
+
+
 def test_against_densities():
     rng = np.random.default_rng(2)
     x = [rng.normal(size=(60, 4)) * [1, 2, 3, 1] + 1, rng.normal(size=(90, 4))]

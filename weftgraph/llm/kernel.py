@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -121,6 +121,21 @@ def text_words(text: str | None) -> np.ndarray:
     return words(data, np.array([0, len(data)]))[0]
 
 
+#: Arrow batches are bounded by bytes as well as rows, so a run of very long texts can't fill a Python worker.
+BATCH = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"),
+    "spark.sql.execution.arrow.maxBytesPerBatch": (str(64 << 20), str(4 << 20)),
+}
+
+
+def bounded(spark: SparkSession) -> SparkSession:
+    """The session with bounds for Arrow batches, unless the user has set them."""
+    for key, (default, ours) in BATCH.items():
+        if spark.conf.get(key, default).rstrip("b") == default:
+            spark.conf.set(key, ours)
+    return spark
+
+
 def arrow_map(df: DataFrame, work: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: StructType | str) -> DataFrame:
     """Map each Arrow batch to any number of batches; there is no state between batches."""
 
@@ -128,6 +143,7 @@ def arrow_map(df: DataFrame, work: Callable[[pa.RecordBatch], Iterator[pa.Record
         for batch in batches:
             yield from work(batch)
 
+    bounded(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
@@ -139,7 +155,7 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
-#: Labels that are broadcast at most; of more, documents and labels are shuffled to each other.
+#: Labels (12 bytes each) that are broadcast at most; of more, documents and labels are shuffled to each other.
 BROADCAST_ROWS = 1_000_000
 
 

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm.kernel import mix, runs_of, slices, whole_runs, words
+from weftgraph.llm.kernel import bounded, mix, runs_of, slices, whole_runs, words
 from weftgraph.session import shared_folder
 
 BASE = 1.5
@@ -267,7 +267,7 @@ def levels(texts: DataFrame, number: int) -> DataFrame:
 
 def scored(docs: DataFrame, number: int | None = None) -> DataFrame:
     """doc_id, words, log2_prob, perplexity of each document, by the model of all of them; number: of shards."""
-    shared_folder(docs.sparkSession)
+    shared_folder(bounded(docs.sparkSession))
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"))
     number = number or shards(texts)
     found = levels(texts, number).checkpoint()

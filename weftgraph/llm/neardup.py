@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weftgraph.llm.kernel import BROADCAST_ROWS, arrow_map, mix, runs_of, slices, unused, whole_runs, words
+from weftgraph.llm.kernel import BROADCAST_ROWS, arrow_map, bounded, mix, runs_of, slices, unused, whole_runs, words
 from weftgraph.session import shared_folder
 
 BANDS, ROWS = 32, 4
@@ -144,7 +144,7 @@ def signatures(docs: DataFrame) -> DataFrame:
 
     Sketch and bands are those of the text, and stand only in the first row of each text in its partition.
     """
-    shared_folder(docs.sparkSession)
+    shared_folder(bounded(docs.sparkSession))
     texts = docs.filter(docs["text"].isNotNull()).select(key_of(docs).alias("key"), docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

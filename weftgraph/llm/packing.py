@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm.kernel import runs_of
+from weftgraph.llm.kernel import bounded, runs_of
 from weftgraph.session import shared_folder
 
 CAPACITY = 8192
@@ -115,7 +115,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, tokens: Column | None = No
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, tokens: Column | None = None) -> DataFrame:
     """bin_id, place, doc_id, piece, start, tokens: where each piece goes; start counts tokens of the document."""
-    spark = docs.sparkSession
+    spark = bounded(docs.sparkSession)
     shared_folder(spark)
     # the random number spreads rows that are equal otherwise
     cut = pieces(docs, capacity, tokens).withColumn("tie", F.rand(7)).repartitionByRange("tokens", "doc_id", "piece", "tie")

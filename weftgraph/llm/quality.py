@@ -8,9 +8,11 @@ log priors, from squared Mahalanobis lengths with inverse Cholesky factors that
 model. Documents with a score below THRESHOLD are rejected.
 
 Of the labels at most SAMPLE documents are used to fit (the bound is a parameter; those whose hashed doc_id is least).
-NULL, empty and wordless texts have score NULL and are rejected. If either quality has fewer than two labelled
-documents, no model exists: scores are NULL and all documents with words are kept. Every row is judged by itself, so
-repeated rows and NULL ids are no matter; extra columns are ignored, or carried by ``drop_low``.
+NULL, empty and wordless texts have score NULL and are rejected; a very long text is described whole. If either
+quality has fewer than two labelled documents, no model exists: scores are NULL and all documents with words are kept.
+Of several labels of a document the highest counts, and documents of one doc_id each count with it. Every row is judged
+by itself, so repeated rows and NULL ids are no matter, equal texts tie, and a score of exactly THRESHOLD is kept; extra
+columns, whatever their names, are ignored, or carried by ``drop_low``. An empty table gives no rows.
 """
 
 from __future__ import annotations
