@@ -1,5 +1,7 @@
 """Compiled workflows against the interpreter, document by document."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -269,3 +271,41 @@ def test_select(docs, spark):
     text = f"[{{select: b, from: g, where: '{where}', do: [{{echo: '@{{b}}'}}], else: [{{echo: none}}]}}]"
     assert engine.run(text, docs, graphs={"g": made}).log.count() == docs.count() * made.count()
     assert {r.message for r in engine.run(text, docs, graphs={"g": made.limit(0)}).log.collect()} == {"none"}
+
+
+def test_rows_are_documents_of_their_own(spark):
+    """Repeated and NULL doc_ids, equal rows, and documents from a shuffle; compiled and interpreted alike."""
+    rows = [(1, "a b"), (1, "x y z"), (None, "p q"), (2, "k"), (1, "a b"), (None, None), (None, "bad")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("word", F.col("text"))
+    loop = r"""[{match-every: '(\w)', as: w, do: [{set: last, to: "@{w.1}"}]}, {ifdef: last, do: [{echo: "@{w_count} @{last}"}]}]"""
+    fails = """[{prefix: ex, iri: http://e/}, {subject: "ex:a", predicate: "ex:b", object: {integer: "@{n}"}}]"""
+    numbers = spark.createDataFrame([(None, "x", "bad"), (None, "x", "5"), (3, "x", "7"), (3, "x", "no")], "doc_id long, text string, n string")
+    for engine_ in ("columns", "python"):
+        for own in (docs, docs.repartition(3, "text")):
+            if engine_ == "python":
+                own = own.filter("text is not null")
+            got = sorted(((r.doc_id, r.message) for r in engine.run(loop, own, engine=engine_).log.collect()), key=str)
+            assert got == sorted([(1, "2 b"), (1, "2 b"), (1, "3 z"), (2, "1 k"), (None, "2 q"), (None, "3 d")], key=str)
+            assert sorted(r.no_matches for r in engine.run(loop, own, engine=engine_).stats().collect()) == sorted([2, 2, 3, 1, 2, 3] + [0] * (engine_ == "columns"))
+        result = engine.run(fails, numbers, engine=engine_)
+        assert sorted(((r.doc_id, r.o.lex) for r in result.triples.collect()), key=str) == sorted([(None, "5"), (3, "7")], key=str)
+        assert sorted((r.no_triples, r.failed) for r in result.stats().collect()) == [(0, True), (0, True), (1, False), (1, False)]
+
+
+def test_groups_of_hits_by_one_match(spark):
+    """Hits with groups are matched once more by themselves; texts that hold the mark between groups are not."""
+    docs = spark.createDataFrame([(1, "ab12 cd3 e \\1 $x"), (2, "ab1\ufdd1 q9"), (3, ""), (4, None), (5, "x7y8 z")], "doc_id long, text string")
+    for source in (r"([a-z]+)(\d)?(\d*)", r"((?P<l>[a-z])(\d))*", r"\b(\w)(\w)", r"(?i:([A-Z])(\d)?)(?=\W|$)"):
+        workflow = f"""[{{match-every: '{source}', as: m, do: [{{echo: "@{{m.0}}|@{{m.1}}|@{{m.2}}"}}]}}]"""
+        got = sorted((r.doc_id, r.message) for r in engine.run(workflow, docs, engine="columns").log.collect())
+        want = sorted((r.doc_id, "|".join(m[k] or "" for k in range(3))) for r in docs.collect() if r.text for m in re.finditer(source, r.text))
+        assert got == [w for w in want] or source.endswith("*"), source
+
+
+def test_select_within_interpreted_workflows(docs, spark):
+    graph = engine.run("""[{prefix: ex, iri: http://e/}, {subject: "ex:@{doc_id}", predicate: ex:p, object: {text: "v@{doc_id}"}}]""", spark.createDataFrame([(1, ""), (2, "")], "doc_id long, text string")).graph
+    query = "SELECT ?v WHERE { ?s <http://e/p> ?v }"
+    workflow = f"""[{{select: v, from: g, where: "{query}", do: [{{set: "n-@{{v}}", to: "@{{v}}"}}, {{echo: "@{{v}}"}}]}}, {{select: v, from: g, where: "{query}", as: w}}, {{echo: "first @{{w}}"}}]"""
+    got = engine.run(workflow, docs, graphs={"g": graph})
+    assert got.compiler is None
+    assert sorted({r.message for r in got.log.collect()}) == ["first v1", "v1", "v2"] and got.errors.count() == 0

@@ -9,13 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parent.parent)
 
-#: Arrow batches are bounded by bytes as well as rows, so a run of very long texts can't fill a Python worker.
-BATCH = {
-    "spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"),
-    "spark.sql.execution.arrow.maxBytesPerBatch": (str(64 << 20), str(4 << 20)),
-}
-
-
 def session(name: str = "weftgraph", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings this library is tested with; ``conf`` overrides them."""
     builder = SparkSession.builder.appName(name)
@@ -28,14 +21,11 @@ def session(name: str = "weftgraph", master: str | None = None, **conf: str) ->
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Make this package importable by Python workers and bound Arrow batches unless the user has set them."""
+    """Make this package importable by Python workers."""
     environment = spark.sparkContext.environment
     paths = environment.get("PYTHONPATH", "").split(os.pathsep)
     if ROOT not in paths:
         environment["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, paths)])
-    for key, (default, ours) in BATCH.items():
-        if spark.conf.get(key, default).rstrip("b") == default:
-            spark.conf.set(key, ours)
     return spark
 
 
