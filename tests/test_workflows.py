@@ -176,7 +176,8 @@ def test_null_text_is_an_error_or_no_match(spark):
         "[{exec: 'vars[\"a\"] = 1'}]",
         r"[{match-every: '(\w)', as: m, do: [{set: n, to: '@{n}@{m.1}'}]}]",
         r"[{match-every: '(?(1)a|b)|(\w)', do: [{pass: }]}]",
-        r"[{match-dimensions: ['(\w+)'], do: [{break: }]}]",
+        r"[{match-dimensions: ['(\w+)'], do: [{match-every: '(\w)', do: [{break: }]}]}]",
+        r"[{match-dimensions: ['(\w+)'], dimensions: [i], pre: [{tag-dimension: 1, at: 1, as: a}], do: [{pass: }]}]",
     ],
 )
 def test_what_has_no_columns_is_interpreted(docs, text):
@@ -309,3 +310,21 @@ def test_select_within_interpreted_workflows(docs, spark):
     got = engine.run(workflow, docs, graphs={"g": graph})
     assert got.compiler is None
     assert sorted({r.message for r in got.log.collect()}) == ["first v1", "v1", "v2"] and got.errors.count() == 0
+
+
+@pytest.mark.parametrize("source", [
+    r"""[{match-1: '([^\n]+)', as-1: r, match-2: '([^|]+)', as-2: c, header-as: h, leading-as: l, first: [{echo: "head @{c.1}"}], leading: [{echo: "lead @{r_count} @{l.1}"}], do: [{echo: "@{h.1}=@{c.1} @{c_count} @{l_count}"}]}]""",
+    r"""[{match-1: '([^\n]+)', match-2: '(\w)(\w)?', as-2: c, do: [{echo: "@{c.1}@{c.2}"}, {subject: "http://e/@{c.1}", predicate: "http://e/p", object: "@{c_count}"}]}]""",
+    r"""[{match-dimensions: ['([^\n]+)', '([^|]+)'], dimensions: [i, j], as: c, do: [{echo: "@{i},@{j} @{c.1}"}, {match: 'x', do: [{break: }]}, {echo: after}]}]""",
+    r"""[{match-dimensions: ['([^\n]+)', '([^|]+)'], dimensions: [i, j], as: c, do-1-*: [{echo: "one @{c.1}"}], do: [{if: "@{j} == 2", do: [{break: }]}, {echo: "@{i} @{j}"}]}]""",
+    r"""[{match-dimensions: ['([^|\n]+)'], dimensions: [i], do: [{match-every: '(\w)', as: m, do: [{echo: "@{m.1}"}]}, {match: 'b', do: [{break: }]}]}]""",
+])
+def test_rows_and_cells_in_columns(spark, source):
+    texts = ["a|bb|c\nd|x|f\nx|h|i", "a\nb", "", "ab|cd\nef|gh", "x|y\nz", "a|b\nc|d|e"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    made = {e: engine.run(source, docs, engine=e) for e in ("columns", "python")}
+    failed = {r.doc_id for r in made["python"].errors.collect()}
+    assert failed == {r.doc_id for r in made["columns"].errors.collect()}
+    for table in ("log", "matches", "triples"):
+        got = {e: [(r.doc_id, *(r.asDict().get(n) for n in ("message", "length", "s", "o"))) for r in getattr(m, table).orderBy("doc_id", "ord").collect() if r.doc_id not in failed] for e, m in made.items()}
+        assert got["columns"] == got["python"], table

@@ -8,8 +8,8 @@ frame; what its body writes is folded back to the parent only if it is read late
 columns of the frame that emits it, and is exploded from there in one pass for each frame.
 
 What has no columns raises Unsupported: names made at run time, Python code, state carried between turns of a loop
-other than from one alternative of a sequence to another, pre, tags and breaks. Text put in by a template isn't
-expanded again.
+other than from one alternative of a sequence to another, pre and tags, breaks within a loop of their own. Text put in
+by a template isn't expanded again.
 """
 
 from __future__ import annotations
@@ -160,6 +160,7 @@ class Compiler:
         self.frames = [self.frame]
         self.state = State("text0", None, (), values, {})
         self.inside: list[set[str]] = []
+        self.breaks: list[tuple[Frame, list[Column]]] = []
         self.run(workflow.steps)
 
     # columns
@@ -686,9 +687,48 @@ class Compiler:
             scope.__exit__(None, None, None)
         return (F.col(first_on) if first_on else F.lit(False)), None
 
+    def do_match_1(self, step: Step):
+        """Rows, and their cells beside those of the first row: two loops, one within the other."""
+        flags, group = flags_of(step.get("flags")), step.get("group-1") or 1
+        outer, inner = (re.compile(step.get(k), flags) for k in ("match-1", "match-2"))
+        rows = self.add("hits", self.hits(F.col(self.state.text), outer, flags))
+        head = self.add("hits", self.hits(F.coalesce(F.try_element_at(F.col(rows), F.lit(1))[group], F.lit("")), inner, flags))
+        one, two = step.get("as-1"), step.get("as-2")
+        names = [step.get(k) for k in ("as-1", "as-2", "header-as", "leading-as") if step.get(k)]
+        marks = [Step("set", {"set": n, "as": n, "to": ""}, "") for n in names]
+        every = [*step.body("first"), *step.body("leading"), *step.body()]
+        with self.loop(F.col(rows), [*marks, *every]) as (turn, item):
+            self.remember(one, F.col(item), outer, self.state.scope, False)
+            if one:
+                self.write(f"{one}_count", (F.col(turn) + 1).cast("int"), "int")
+            text = self.add("text", F.col(item)[group])
+            cells = self.add("hits", self.hits(F.col(text), inner, flags))
+            self.emit("error", F.size(F.col(cells)) > F.size(F.col(head)), message=F.lit("a row is longer than the first"))
+            with self.loop(F.col(cells), [*(m for m in marks if m.get("as") != one), *every]) as (at, cell):
+                self.remember(two, F.col(cell), inner, self.state.scope)
+                self.remember(step.get("header-as"), F.get(F.col(head), F.col(at)), inner, self.state.scope, False)
+                self.remember(step.get("leading-as"), F.get(F.col(cells), F.lit(0)), inner, self.state.scope, False)
+                if two:
+                    self.write(f"{two}_count", (F.col(at) + 1).cast("int"), "int")
+                if step.get("leading-as"):
+                    self.write(f"{step.get('leading-as')}_count", (F.col(turn) + 1).cast("int"), "int")
+                with self.text(text):
+                    done = F.lit(False)
+                    for body, fits in ((step.body("first"), F.col(turn) == 0), (step.body("leading"), F.col(at) == 0), (step.body(), F.lit(True))):
+                        if body:
+                            with self.scope(fits & ~done):
+                                self.run(body)
+                            done = done | fits
+        return F.size(F.col(rows)) > 0, None
+
+    def do_break(self, step: Step) -> None:
+        if not self.breaks or self.breaks[-1][0] is not self.frame:
+            raise Unsupported(f"{step.where}: within a loop of its own")
+        self.breaks[-1][1].append(F.lit(True) if self.state.on is None else F.col(self.state.on))
+
     def do_match_dimensions(self, step: Step):
-        if step.body("pre") or any(s.op in ("break", "tag-dimension") for s in _inner(step.body())):
-            raise Unsupported(f"{step.where}: pre, tags and breaks")
+        if step.body("pre") or any(s.op == "tag-dimension" for s in _inner([x for b in step.bodies.values() for x in b])):
+            raise Unsupported(f"{step.where}: pre and tags")
         flags = flags_of(step.get("flags"))
         levels = [re.compile(p, flags) for p in step.get("match-dimensions")]
         names, name = step.get("dimensions") or [], step.get("as")
@@ -707,26 +747,47 @@ class Compiler:
                     return
                 for d, own in enumerate(names):
                     self.write(own, (F.col(turns[d]) + 1).cast("int"), "int")
-                self.emit("match", length=F.length(F.col(item)[0]))
-                self.remember(name, F.col(item), levels[-1], self.state.scope)
-                done = F.lit(False)
-                with self.text(self.add("text", F.col(item)[1 if levels[-1].groups else 0])):
-                    # the most specific body first: exact indices before *, from the first dimension on
-                    for key in sorted(bodies, key=lambda k: [p == "*" for p in k.split("-")[1:]]):
-                        if len(places := key.split("-")[1:]) != len(levels):
-                            continue
-                        if any(p != "*" and not p.isdigit() for p in places):
-                            continue
-                        fits = F.lit(True)
-                        for d, p in enumerate(places):
-                            if p != "*":
-                                fits = fits & (F.col(turns[d]) + 1 == int(p))
-                        with self.scope(fits & ~done):
-                            self.run(bodies[key])
-                        done = done | fits
-                    if step.body():
-                        with self.scope(~done):
-                            self.run(step.body())
+                if not any(s.op == "break" for s in _inner(every)):
+                    cell(item)
+                    return
+                # what breaks is found first, as if nothing did; then all is done for cells that no cell before them has broken off
+                state, count, frames = self.state, len(self.frame.events), len(self.frames)
+                self.breaks.append((self.frame, []))
+                cell(item)
+                flags_ = self.breaks.pop()[1]
+                del self.frame.events[count:], self.frames[frames:]
+                self.state = state
+                stop = flags_[0]
+                for flag in flags_[1:]:
+                    stop = stop | flag
+                stop = F.col(self.add("stop", F.coalesce(stop, F.lit(False)).cast("int")))
+                before = Window.partitionBy(ROW, F.slice("ord", F.lit(1), F.size("ord") - 1)).orderBy(F.element_at("ord", -1)).rowsBetween(Window.unboundedPreceding, -1)
+                with self.scope(F.coalesce(F.max(stop).over(before), F.lit(0)) == 0):
+                    self.breaks.append((self.frame, []))
+                    cell(item)
+                    self.breaks.pop()
+
+        def cell(item: str) -> None:
+            self.emit("match", length=F.length(F.col(item)[0]))
+            self.remember(name, F.col(item), levels[-1], self.state.scope)
+            done = F.lit(False)
+            with self.text(self.add("text", F.col(item)[1 if levels[-1].groups else 0])):
+                # the most specific body first: exact indices before *, from the first dimension on
+                for key in sorted(bodies, key=lambda k: [p == "*" for p in k.split("-")[1:]]):
+                    if len(places := key.split("-")[1:]) != len(levels):
+                        continue
+                    if any(p != "*" and not p.isdigit() for p in places):
+                        continue
+                    fits = F.lit(True)
+                    for d, p in enumerate(places):
+                        if p != "*":
+                            fits = fits & (F.col(turns[d]) + 1 == int(p))
+                    with self.scope(fits & ~done):
+                        self.run(bodies[key])
+                    done = done | fits
+                if step.body():
+                    with self.scope(~done):
+                        self.run(step.body())
 
         enter(0, self.state.text, rows)
         return F.size(F.col(rows)) > 0, None
