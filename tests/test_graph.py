@@ -75,6 +75,37 @@ def test_ntriples_come_back(triples, spark, tmp_path):
     assert sorted(map(str, back.collect())) == sorted(map(str, own.distinct().collect()))
 
 
+@pytest.mark.parametrize("few", [0, graph.FEW])
+@pytest.mark.parametrize(
+    "edges",
+    [
+        [(k, k // 2) for k in range(1, 40)] + [(0, 0)],
+        [(k // 2, k) for k in range(2, 20)],
+        [(k, k + 1) for k in range(20)] + [(30, 31), (31, 32), (32, 30), (33, 30), (40, 41), (41, 42), (42, 41)],
+        [(1, 2), (2, 3), (3, 1), (3, 4), (1, 5), (5, 4), (4, 6), (6, 7), (7, 5), (8, 8)],
+    ],
+)
+def test_paths(spark, monkeypatch, edges, few):
+    """Trees, chains, circles and others, against plain search; a path's pairs come once, whatever is broadcast."""
+    monkeypatch.setattr(graph, "FEW", few)
+    rows = [(tuple(iri(f"{EX}n{a}")), tuple(iri(EX + "e")), tuple(iri(f"{EX}n{b}"))) for a, b in edges]
+    triples = spark.createDataFrame(rows, f"s {TERM}, p {TERM}, o {TERM}")
+    pairs = set(edges)
+    while more := {(a, d) for a, b in pairs for c, d in edges if b == c} - pairs:
+        pairs |= more
+    assert ask(triples, "SELECT ?x ?y WHERE { ?x :e+ ?y }") == sorted((f"n{a}", f"n{b}") for a, b in pairs)
+    assert ask(triples, "SELECT ?x WHERE { ?x :e+ :n1 }") == sorted((f"n{a}",) for a, b in pairs if b == 1)
+    assert ask(triples, "SELECT ?x WHERE { :n3 :e* ?x }") == sorted({(f"n{b}",) for a, b in pairs if a == 3} | {("n3",)})
+
+
+def test_paths_of_a_tree_stay_in_place(spark):
+    """Pairs come from one array a node: they pass no exchange and aren't written."""
+    rows = [(tuple(iri(f"{EX}{k}")), tuple(iri(EX + "e")), tuple(iri(f"{EX}{k // 2}"))) for k in range(1, 64)]
+    found = graph.select(spark.createDataFrame(rows, f"s {TERM}, p {TERM}, o {TERM}"), f"PREFIX : <{EX}> SELECT ?x ?y WHERE {{ ?x :e+ ?y }}")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Generate explode" in plan and "Exchange" not in plan
+
+
 def test_turtle(triples, tmp_path):
     sinks.write_turtle(triples, f"{tmp_path}/ttl", {"ex": EX})
     text = (tmp_path / "ttl" / "1.ttl").read_text()

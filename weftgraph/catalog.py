@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -517,22 +518,23 @@ def turtle_read(spark, folder):
 
 
 def suppliers(spark: SparkSession, folder: str) -> DataFrame:
-    """Regions, nations, and their suppliers and customers, as one graph."""
+    """Regions, nations, and their suppliers and customers, as one graph; queries take each statement once."""
     rows = table(spark, folder, "supplier").select(F.col("s_suppkey").alias("doc_id"), F.col("s_name").alias("text"), "s_name", "s_nationkey", F.col("s_acctbal").cast("int").alias("balance"))
     more = engine.run("""
 - {prefix: ex, iri: http://example.org/}
 - subject: "ex:s@{doc_id}"
   predicates: [{predicate: ex:label, object: {text: "@{s_name}"}}, {predicate: ex:from, object: {iri: "ex:n@{s_nationkey}"}}, {predicate: ex:balance, object: {integer: "@{balance}"}}]
-""", rows).graph
+""", rows).triples
     rows = table(spark, folder, "customer").select(F.col("c_custkey").alias("doc_id"), F.col("c_name").alias("text"), "c_name", "c_nationkey", "c_mktsegment")
     buyers = engine.run("""
 - {prefix: ex, iri: http://example.org/}
 - subject: "ex:c@{doc_id}"
   predicates: [{predicate: ex:called, object: {text: "@{c_name}"}}, {predicate: ex:lives, object: {iri: "ex:n@{c_nationkey}"}}, {predicate: ex:segment, object: {text: "@{c_mktsegment}"}}]
-""", rows).graph
+""", rows).triples
     rows = table(spark, folder, "region").select(F.col("r_regionkey").cast("long").alias("doc_id"), F.col("r_name").alias("text"), "r_name")
-    regions = engine.run("""[{prefix: ex, iri: http://example.org/}, {subject: "ex:r@{doc_id}", predicate: ex:title, object: {text: "@{r_name}"}}]""", rows).graph
-    return places(spark, folder).graph.unionByName(more).unionByName(buyers).unionByName(regions).select("s", "p", "o")
+    regions = engine.run("""[{prefix: ex, iri: http://example.org/}, {subject: "ex:r@{doc_id}", predicate: ex:title, object: {text: "@{r_name}"}}]""", rows).triples
+    parts = [rows.select("s", "p", "o") for rows in (places(spark, folder).triples, more, buyers, regions)]
+    return reduce(DataFrame.unionByName, parts)
 
 
 _PREFIX = f"PREFIX ex: <{EX}> "
@@ -575,7 +577,7 @@ _EDGES = "e AS (SELECT o_orderkey AS a, o_orderkey // 2 AS b FROM orders)"
 def tree(spark: SparkSession, folder: str) -> DataFrame:
     """Each order and the one with half its number, as a graph."""
     rows = table(spark, folder, "orders").select(F.col("o_orderkey").alias("doc_id"), F.lit("").alias("text"), F.floor(F.col("o_orderkey") / 2).alias("up"))
-    return engine.run(_UP, rows).graph.select("s", "p", "o")
+    return engine.run(_UP, rows).triples.select("s", "p", "o")
 
 
 @query("bgp_path", f"""WITH RECURSIVE {_EDGES}, w AS (SELECT a, b FROM e UNION SELECT w.a, e.b FROM w JOIN e ON w.b = e.a) SELECT '{EX}' || a AS x, '{EX}' || b AS y FROM w""")

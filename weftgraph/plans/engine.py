@@ -14,7 +14,7 @@ from weftgraph.functions.terms import TERM
 from weftgraph.plans import columns, machine
 from weftgraph.plans.columns import KEY, ROW
 from weftgraph.plans.workflow import Workflow, WorkflowError, parse
-from weftgraph.session import shared_folder
+from weftgraph.session import shared_folder, spread
 
 _TRIPLE = {"s": TERM, "p": TERM, "o": TERM, "inverse": "boolean"}
 _LOG = {"level": "string", "message": "string"}
@@ -68,7 +68,7 @@ class Result:
     @property
     def graph(self) -> DataFrame:
         """doc_id, s, p, o: the set of a document's statements; rows of one doc_id share a graph."""
-        return self.triples.select(KEY, "s", "p", "o").distinct()
+        return spread(self.triples.select(KEY, "s", "p", "o"), KEY, "s", "o").distinct()
 
     @property
     def matches(self) -> DataFrame:
