@@ -1,6 +1,7 @@
 import urllib.error
 
 import pytest
+from pyspark.sql import functions as F
 
 from weftgraph.functions.terms import TERM, XSD, Term, iri, literal
 from weftgraph.operators import graph
@@ -62,6 +63,20 @@ def test_refused(triples, query):
         ask(triples, query)
 
 
+def test_subjects_meet_last(triples):
+    """Patterns of one subject are joined before subjects meet; many that meet many are spread first."""
+    found = graph.select(triples, f"PREFIX : <{EX}> SELECT ?x ?y WHERE {{ ?x :knows ?z . ?y :knows ?z ; :age ?a FILTER(?a > 8) }}")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join Inner" in line]
+    assert "z#" in joins[0] and "y#" in joins[1] and "RepartitionByExpression [z#" in plan
+    assert sorted(tuple(v.replace(EX, "") for v in r) for r in found.collect()) == [("a", "a"), ("a", "a"), ("c", "c"), ("c", "c")]
+
+
+@pytest.mark.parametrize(("term", "text"), [('"a"', "a"), ('""', ""), ('"a"@en', "a"), ('"a\\"b"', 'a"b'), ('"\\\\"', "\\"), ('"7"^^<x>', "7"), ("<i>", "i"), ("_:b", "_:b"), ('"a"b"', 'a"b')])
+def test_text_of_a_term(spark, term, text):
+    assert spark.createDataFrame([(term,)], "t string").select(graph.lex(F.col("t"))).first()[0] == text
+
+
 def test_by_document(triples):
     assert ask(triples.withColumn("doc_id", triples.doc_id.cast("string")), "SELECT ?x WHERE { :a :knows ?x }", by="doc_id") == [("1", "b"), ("2", "z")]
     first = {r.doc_id: r.x for r in graph.first(triples, f"SELECT ?x WHERE {{ ?s <{EX}knows> ?x }}").collect()}

@@ -37,8 +37,10 @@ class QueryError(ValueError):
 
 def lex(term: Column) -> Column:
     """The text of a bound term."""
+    inner = F.substring(term, F.lit(2), F.length(term) - 2)
     literal = unescaped(F.regexp_extract(term, r'(?s)^"(.*)"(?:@[A-Za-z0-9-]+|\^\^<[^>]*>)?$', 1))
-    return F.when(term.startswith('"'), literal).when(term.startswith("<"), F.substring(term, F.lit(2), F.length(term) - 2)).otherwise(term)
+    plain = term.startswith('"') & term.endswith('"') & ~F.contains(term, F.lit("\\")) & (F.length(term) > 1)
+    return F.when(plain | term.startswith("<"), inner).when(term.startswith('"'), literal).otherwise(term)
 
 
 def _number(value: tuple[str, Column]) -> Column:
@@ -246,17 +248,19 @@ class _Query:
 
         def flush() -> None:
             nonlocal rows
-            stars: dict[Any, DataFrame] = {}
+            stars: dict[str, DataFrame] = {}
             for k, x in enumerate(sorted(patterns, key=lambda x: sum(t.startswith("?") for t in (x[0], x[2])))):
                 subject = x[2] if x[1][1] == "^" else x[0]
-                star = subject if subject.startswith("?") else k
+                star = subject if subject.startswith("?") else str(k)
                 stars[star] = self.joined(stars.get(star), self.pattern(*x))
             patterns.clear()
-            todo = list(stars.values())
-            while todo:
+            while stars:
                 known = set() if rows is None else set(rows.columns) - set(self.by)
-                k = next((k for k, x in enumerate(todo) if rows is None or set(x.columns) & known), 0)
-                rows = self.joined(rows, todo.pop(k))
+                star = next((k for k, x in stars.items() if rows is None or set(x.columns) & known), next(iter(stars)))
+                shared = known & set(stars[star].columns)
+                if shared and star[1:] not in shared:  # many meet many: little comes in, much goes out
+                    rows = spread(rows, *self.by, *sorted(shared))
+                rows = self.joined(rows, stars.pop(star))
 
         while not self.take("}"):
             if self.take("filter"):
