@@ -328,3 +328,12 @@ def test_rows_and_cells_in_columns(spark, source):
     for table in ("log", "matches", "triples"):
         got = {e: [(r.doc_id, *(r.asDict().get(n) for n in ("message", "length", "s", "o"))) for r in getattr(m, table).orderBy("doc_id", "ord").collect() if r.doc_id not in failed] for e, m in made.items()}
         assert got["columns"] == got["python"], table
+
+
+def test_what_a_loop_leaves_is_folded_in_parts(spark):
+    """Rows of a loop are shuffled before they are sorted for the fold, so that no task sorts all that come from one file."""
+    docs = spark.createDataFrame([(1, "a b"), (1, "c"), (None, "d e f")], "doc_id long, text string")
+    rows = engine.run("""[{match-every: '([a-z])', as: a, do: [{set: last, to: "@{a.1}"}]}, {echo: "@{a_count} @{last}"}]""", docs).log
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortAggregate") and plan.rindex("SortAggregate") < plan.index("REPARTITION_BY_NUM")
+    assert sorted(r.message for r in rows.collect()) == ["1 c", "2 b", "3 f"]

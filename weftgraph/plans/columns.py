@@ -28,6 +28,7 @@ from weftgraph.functions import expression, regex, terms
 from weftgraph.functions.expression import Unsupported
 from weftgraph.plans.machine import REFERENCE
 from weftgraph.plans.workflow import TRIPLE, Step, Workflow, WorkflowError, flags_of, parse_steps, patterns
+from weftgraph.session import spread
 
 KEY, ROW = "doc_id", "row"
 #: Parts a hit's groups in one string; a text that holds it is matched once for each group instead.
@@ -529,7 +530,7 @@ class Compiler:
             return
         number = self.number()
         names = [f"fold_{number}_{k}" for k in range(len(grouped))]
-        rows = child.df.groupBy(ROW, F.slice("ord", F.lit(1), depth).alias("ord")).agg(*(c.alias(n) for n, (_, _, c) in zip(names, grouped)))
+        rows = spread(child.df, ROW).groupBy(ROW, F.slice("ord", F.lit(1), depth).alias("ord")).agg(*(c.alias(n) for n, (_, _, c) in zip(names, grouped)))
         self.frame.df = self.frame.df.join(rows, [ROW, "ord"], "left")
         for column, (name, kind, _) in zip(names, grouped):
             if kind == "match":
