@@ -94,3 +94,10 @@ def test_expressions(spark, source):
 def test_refused(source):
     with pytest.raises((expression.Unsupported, KeyError)):
         expression.evaluate(source, {"a": "x"})
+
+
+def test_patterns_of_one_group():
+    for pattern in (r"([^\n]+)", "(a|b)", r"(\()", "([)(]+)", "(a*)"):
+        assert regex.one_group(re.compile(pattern))
+    for pattern in ("(a)+", "(a)b", "(a)|(b)", "(?:a)", "a", "((a))", "(?P<n>a)", "(a)|b", "([]a])", "((?:a))"):
+        assert not regex.one_group(re.compile(pattern))

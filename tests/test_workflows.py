@@ -337,3 +337,11 @@ def test_what_a_loop_leaves_is_folded_in_parts(spark):
     plan = rows._jdf.queryExecution().executedPlan().toString()
     assert plan.count("SortAggregate") and plan.rindex("SortAggregate") < plan.index("REPARTITION_BY_NUM")
     assert sorted(r.message for r in rows.collect()) == ["1 c", "2 b", "3 f"]
+
+
+def test_hits_of_a_loop_are_found_once(spark):
+    """One pass of each pattern, whatever Spark infers from the loop; documents without hits have no turns."""
+    docs = spark.createDataFrame([(1, "a b\nc"), (2, ""), (3, "\n"), (4, None)], "doc_id long, text string")
+    rows = engine.run(r"""[{match-dimensions: ['([^\n]+)', '([^ ]+)'], dimensions: [i, j], as: c, do: [{echo: "@{i}@{j}@{c.1}"}]}]""", docs).log
+    assert rows._jdf.queryExecution().executedPlan().toString().count("regexp_extract_all") == 2
+    assert sorted((r.doc_id, r.message) for r in rows.collect()) == [(1, "11a"), (1, "12b"), (1, "21c")]

@@ -14,6 +14,11 @@ def context_free(pattern: str) -> bool:
     return not re.search(r"\\[AbBZzGK]|\(\?[=!<>(]|[\^$]|[*+?}]\+", pattern.replace("[^", "["))
 
 
+def one_group(pattern: re.Pattern) -> bool:
+    """Whether the pattern is one group and nothing else, so that the group is the hit."""
+    return pattern.groups == 1 and bool(re.fullmatch(r"\((?!\?)(?:[^()\[\]\\]|\\.|\[\^?(?:\\.|[^\]\\\[])+\])*\)", pattern.pattern, re.S))
+
+
 def java_flags(flags: int) -> str:
     """Inline flags: Unix line ends always, Unicode classes unless ASCII."""
     letters = "d" + ("" if flags & re.A else "U")

@@ -472,13 +472,13 @@ class Compiler:
     def hits(self, text: Column, pattern: re.Pattern, flags: int) -> Column:
         """All hits, each an array of groups."""
         java = regex.translate(pattern.pattern, flags)
-        return self.all_hits(text, java, pattern.groups, regex.context_free(pattern.pattern))
+        return self.all_hits(text, java, pattern.groups, regex.context_free(pattern.pattern), regex.one_group(pattern))
 
-    def all_hits(self, text: Column, java: str, groups: int, alone: bool) -> Column:
-        """All hits of a Java pattern; alone: a hit's groups follow from the hit itself, which is then matched once more."""
+    def all_hits(self, text: Column, java: str, groups: int, alone: bool, same: bool = False) -> Column:
+        """All hits of a Java pattern; alone: a hit's groups follow from the hit itself, which is then matched once more; same: its one group is the hit."""
         columns = [F.regexp_extract_all(text, F.lit(java), F.lit(g)) for g in range(groups + 1)]
-        if not groups:
-            return F.transform(columns[0], lambda x: F.array(x))
+        if not groups or same:
+            return F.transform(columns[0], lambda x: F.array(*[x] * (groups + 1)))
         zipped = F.transform(F.arrays_zip(*columns), lambda x: F.array(*(x[f"{k}"] for k in range(groups + 1))))
         if not alone or groups < 2:
             return zipped
@@ -497,7 +497,8 @@ class Compiler:
         parent, before, seq = self.frame, self.state, self.number()
         df = parent.df if before.on is None else parent.df.filter(F.col(before.on))
         turn, item = f"turn_{seq}", f"item_{seq}"
-        df = df.select("*", F.posexplode(rows).alias(turn, item)).withColumn("ord", F.concat("ord", F.array(F.lit(seq), F.col(turn) + 1)))
+        # of a plain posexplode Spark infers a filter on the array's size, and finds the hits three times over
+        df = df.select("*", F.posexplode_outer(rows).alias(turn, item)).filter(F.col(turn).isNotNull()).withColumn("ord", F.concat("ord", F.array(F.lit(seq), F.col(turn) + 1)))
         lists = {str(s.at["append"]) for s in _inner(body) if s.op == "append"}
         values = {k: v for k, v in before.values.items() if k not in own}
         self.frame = Frame(df)
