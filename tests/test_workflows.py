@@ -345,3 +345,20 @@ def test_hits_of_a_loop_are_found_once(spark):
     rows = engine.run(r"""[{match-dimensions: ['([^\n]+)', '([^ ]+)'], dimensions: [i, j], as: c, do: [{echo: "@{i}@{j}@{c.1}"}]}]""", docs).log
     assert rows._jdf.queryExecution().executedPlan().toString().count("regexp_extract_all") == 2
     assert sorted((r.doc_id, r.message) for r in rows.collect()) == [(1, "11a"), (1, "12b"), (1, "21c")]
+
+
+def test_cells_take_numbers_through_the_break(spark):
+    """A break's window goes by the turns of the loops around it; turns of an outer loop tell lines apart too."""
+    docs = spark.createDataFrame([(1, "a b, c\nd, e;f g"), (2, "h, i")], "doc_id long, text string")
+    rows = engine.run(r"""
+- match-every: '([^;]+)'
+  as: p
+  do:
+    - within: '(?s)(.*)'
+      do: [{match-dimensions: ['([^\n]+)', '([^ ]+)'], dimensions: [i, j], as: c, do: [{echo: "@{i}@{j}@{c.1}"}, {match: ',$', do: [{break: }]}]}]
+""", docs).log
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"hashpartitioning\(row#\w+, turn_\w+#", plan) and "slice(ord" not in plan
+    both = [["11a", "12b,", "21d,"], ["11h,"]]
+    assert sorted(r.message for r in rows.filter("doc_id = 2").collect()) == both[1]
+    assert sorted(set(r.message for r in rows.filter("doc_id = 1").collect())) == both[0]

@@ -763,7 +763,9 @@ class Compiler:
                 for flag in flags_[1:]:
                     stop = stop | flag
                 stop = F.col(self.add("stop", F.coalesce(stop, F.lit(False)).cast("int")))
-                before = Window.partitionBy(ROW, F.slice("ord", F.lit(1), F.size("ord") - 1)).orderBy(F.element_at("ord", -1)).rowsBetween(Window.unboundedPreceding, -1)
+                # the turns of the loops around it instead of ord: plain numbers, which each cell takes through the shuffle
+                around = [c for c in self.frame.df.columns if c.startswith("turn_") and c != turn]
+                before = Window.partitionBy(ROW, *around).orderBy(turn).rowsBetween(Window.unboundedPreceding, -1)
                 with self.scope(F.coalesce(F.max(stop).over(before), F.lit(0)) == 0):
                     self.breaks.append((self.frame, []))
                     cell(item)
